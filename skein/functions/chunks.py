@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_TOKENS, OVERLAP_TOKENS, DIMENSIONS = 512, 50, 384
 
@@ -50,7 +51,7 @@ def extract_chunks(symbols: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tok
     return short.unionByName(long.mapInPandas(split, f"symbol_id {kind}, part int, content string, start_line long, end_line long"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
     """Unit vectors of hashed words: the same text always has the same vector, texts that share words are close."""
 

@@ -53,7 +53,11 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     """
     terms = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
     words = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("w")).withColumn("n", F.size("w"))
-    counts = words.select(id_col, "n", *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)))
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("w", lambda word: word == F.lit(term)))
+
+    counts = words.select(id_col, "n", *(times(t).alias(f"t{i}") for i, t in enumerate(terms)))
     totals = counts.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
     rows = counts.where(reduce(lambda x, y: x | y, (F.col(f"t{i}") > 0 for i in range(len(terms))))).join(F.broadcast(totals))  # one row
 

@@ -22,7 +22,7 @@ def to_event(rows: DataFrame, event_type, repo_id, timestamp, data=None, source:
 
 def emit(events: DataFrame, folder: str) -> None:
     """Appends a batch of events to the bus, a folder of JSON lines."""
-    events.write.mode("append").json(folder)
+    events.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
 
 
 def subscribe(spark: SparkSession, folder: str, types: tuple[str, ...] | None = None, per_trigger: int | None = None) -> DataFrame:
