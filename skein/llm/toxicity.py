@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skein.llm import textbytes as tb
 from skein.llm.langid import LETTERS
 
-SAMPLE, FOLDS, FEATURES, RIDGE, THRESHOLD = 6000, 5, 400, 4.0, 0.5
+SAMPLE, FOLDS, FEATURES, RIDGE, THRESHOLD = 6000, 5, 400, 0.3, 0.5
 _BITS = 20
 #: Bytes of word beginnings; 0 is the whole word.
 BEGINNINGS = (0, 5, 6, 7, 8)
