@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text
 from skein.functions.chunks import hash_embedding
+from skein.functions.conventions import DEFAULTS
 from skein.operators import graph, search
 
 LIMITS = {"k": (1, 50), "max_hops": (1, 10), "query": (3, 500), "files": (1, 100), "batch": (1, 20), "page": (1, 10_000), "page_size": (1, 100)}
@@ -20,7 +22,6 @@ TOOLSETS = {
     "review": ("blast_radius", "risk_context", "test_map", "commit_diff", "conventions"),
     "search": ("search", "file"),
 }
-DEFAULT_CONVENTIONS = {"naming": "Unknown", "error_handling": "Unknown", "testing": "Unknown", "documentation_style": "Standard docstrings"}
 
 
 def within(name: str, value: int) -> int:
@@ -81,8 +82,9 @@ class CodeIntel:
     def risk_context(self, files: list, max_hops: int = 5) -> DataFrame:
         return graph.risk_context(self._seeds(files, "file_path"), self.tables["files"], self.tables["imports"], max_hops)
 
-    def conventions(self) -> dict[str, str]:
-        return dict(DEFAULT_CONVENTIONS)
+    def conventions(self, known: dict[str, dict] | None = None, service: str = "") -> dict:
+        """A service's conventions, or the defaults."""
+        return (known or {}).get(service) or copy.deepcopy(DEFAULTS)
 
     def reindex(self, repo_id, jobs: DataFrame, as_of) -> DataFrame:
         """jobs with a pending one more."""

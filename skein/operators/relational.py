@@ -171,3 +171,27 @@ def worst_health(components: DataFrame, by: str) -> DataFrame:
     """The worst status; one that is missing (timeout, exception) counts as unhealthy."""
     severity = F.when(F.col("status") == "healthy", 0).when(F.col("status") == "degraded", 1).otherwise(2)
     return components.groupBy(by).agg(F.element_at(F.array(*map(F.lit, ("healthy", "degraded", "unhealthy"))), F.max(severity) + 1).alias("health"))
+
+
+# --- API keys -------------------------------------------------------------------------------------------------------
+
+
+def create_key(keys: DataFrame, key: DataFrame) -> DataFrame:
+    """keys with one more that is not revoked and never used."""
+    return keys.unionByName(key.withColumns({"revoked": F.lit(False), "usage_count": F.lit(0).cast("long")}), allowMissingColumns=True)
+
+
+def revoke_key(keys: DataFrame, key_id) -> DataFrame:
+    return keys.withColumn("revoked", F.col("revoked") | (F.col("key_id") == key_id))
+
+
+def rotate_key(keys: DataFrame, key_id, new: DataFrame) -> DataFrame:
+    return create_key(revoke_key(keys, key_id), new)
+
+
+def count_usage(keys: DataFrame, uses: DataFrame) -> DataFrame:
+    """uses: a row (key_id, ts) per request. Adds to the count and stamps the last use."""
+    new = uses.groupBy("key_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("t"))
+    out = keys.join(new, "key_id", "left")
+    last = F.greatest("last_used_at", "t") if "last_used_at" in keys.columns else F.col("t")
+    return out.withColumn("usage_count", F.col("usage_count") + F.coalesce("n", F.lit(0))).withColumn("last_used_at", last).drop("n", "t")

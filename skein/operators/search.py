@@ -118,3 +118,15 @@ def with_dependencies(results: DataFrame, found: DataFrame, first: int = 5, key:
     sides = found.groupBy(F.col("seed").alias(key), "direction").agg(nearest.alias("nearest"), F.count(F.lit(1)).alias("n"))
     flat = sides.groupBy(key).agg(*(F.max(F.when(F.col("direction") == d, F.col("nearest"))).alias(d) for d in ("upstream", "downstream")), F.sum("n").alias("total_dependencies"))
     return results.join(flat, key, "left").withColumn("total_dependencies", F.coalesce("total_dependencies", F.lit(0)))
+
+
+#: Metadata that a response shows.
+SHOWN = ("dependency_count", "acs_score", "total_lines")
+
+
+def for_response(results: DataFrame) -> DataFrame:
+    """results with confidence, evidence fields and a metadata map, as the response shows them."""
+    evidence = F.struct(F.col("commit_hash").alias("commit_sha"), "author", F.col("commit_date").alias("last_modified"))
+    shown = F.map_filter("metadata", lambda k, v: k.isin(*SHOWN))
+    rest = [c for c in results.columns if c not in ("confidence", "commit_hash", "author", "commit_date", "metadata")]
+    return results.select(*rest, F.round("confidence", 3).alias("confidence"), evidence.alias("evidence"), shown.alias("metadata"))

@@ -321,3 +321,11 @@ def admissions(spark: SparkSession, sf: str) -> DataFrame:
 def breaker_states(spark: SparkSession, sf: str) -> DataFrame:
     """A state machine; tests hold it against a plain program."""
     return tw.breaker_states(tables(spark, sf, "requests")[0].withColumn("failed", F.col("value") > 60))
+
+
+@query("key_usage", "WITH u AS (SELECT user_id AS key_id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'view' GROUP BY 1) SELECT c_custkey AS key_id, (c_custkey % 7 + coalesce(n, 0))::BIGINT AS usage_count, t AS last_used_at, c_custkey = 12 AS revoked FROM customer LEFT JOIN u ON u.key_id = c_custkey")
+def key_usage(spark: SparkSession, sf: str) -> DataFrame:
+    customer, events = tables(spark, sf, "customer", "events")
+    keys = customer.select(F.col("c_custkey").alias("key_id"), (F.col("c_custkey") % 7).alias("usage_count"), F.lit(False).alias("revoked"))
+    uses = events.where("event_type = 'view'").select(F.col("user_id").alias("key_id"), "ts")
+    return rel.count_usage(rel.revoke_key(keys, 12), uses).select("key_id", "usage_count", "last_used_at", "revoked")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import chunks, text
+from skein.functions import conventions as rules
 from skein.operators import graph, search
 from skein.plans.adapters import tables, with_views
 
@@ -281,3 +282,22 @@ def unit_keys(spark: SparkSession, sf: str) -> DataFrame:
 @query("file_content", "SELECT doc_id, text AS content, len(string_split(text, chr(10)))::INT AS total_lines FROM documents WHERE doc_id = 17")
 def file_content(spark: SparkSession, sf: str) -> DataFrame:
     return tables(spark, sf, "documents")[0].where("doc_id = 17").select("doc_id", F.col("text").alias("content"), F.size(F.split("text", "\n")).alias("total_lines"))
+
+
+@query("response_rows", "SELECT doc_id, round(n_chars / 7000.0, 3)::DOUBLE AS confidence, source AS commit_sha, '{\"acs_score\":' || doc_id % 7 || ',\"total_lines\":' || n_chars || '}' AS metadata FROM documents")
+def response_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rounding, evidence and the shown part of the metadata."""
+    docs = tables(spark, sf, "documents")[0]
+    meta = F.create_map(F.lit("acs_score"), F.col("doc_id") % 7, F.lit("hidden"), F.lit(1), F.lit("total_lines"), F.col("n_chars"))
+    rows = docs.select("doc_id", (F.col("n_chars") / 7000.0).alias("confidence"), F.col("source").alias("commit_hash"), F.col("lang").alias("author"), F.lit(None).cast("timestamp_ntz").alias("commit_date"), meta.alias("metadata"))
+    return search.for_response(rows).select("doc_id", "confidence", "evidence.commit_sha", F.to_json("metadata").alias("metadata"))
+
+
+@query("conventions", "WITH s AS (SELECT CASE source WHEN 'src0' THEN 'python' WHEN 'src1' THEN 'go' ELSE 'other' END AS language, * FROM documents) SELECT language, 'PascalCase (UpperCamelCase)' AS classes, CASE language WHEN 'python' THEN 'Uses try/except blocks,Raises custom exceptions' WHEN 'go' THEN 'Returns error as second value,Checks if err != nil' ELSE '' END AS error_handling, CASE WHEN count(*) FILTER (lang = 'fr' AND language = 'python') > 0 THEN 'Imports grouped by type,' ELSE '' END || 'Alphabetically sorted within groups' AS import_ordering FROM s GROUP BY 1")
+def conventions(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables(spark, sf, "documents")[0]
+    language = F.when(F.col("source") == "src0", "python").when(F.col("source") == "src1", "go").otherwise("other")
+    symbols = docs.select(language.alias("language"), F.lit("Shape").alias("name"), F.lit("class").alias("symbol_type"))
+    importing = docs.where("lang = 'fr'").select(language.alias("language")).where("language = 'python'")
+    out = rules.conventions(symbols, importing)
+    return out.select("language", "classes", F.array_join("error_handling", ",").alias("error_handling"), F.array_join("import_ordering", ",").alias("import_ordering"))

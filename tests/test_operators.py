@@ -217,3 +217,24 @@ def test_api_batch(spark):
     assert unknown["status"] == bad["status"] == "error"
     with pytest.raises(ValueError):
         api.batch([("file", {})] * 21)
+
+
+def test_routes_agree_with_the_column_rules(spark):
+    from skein.plans import routing
+
+    queries = ["what depends on this import", "find the function for logging", "show me the upstream impact", "hello"]
+    got = [r[0] for r in spark.createDataFrame([(q,) for q in queries], "q string").select(text.classify_query(F.col("q"))).collect()]
+    assert got == [routing.classify(q) for q in queries]
+    assert routing.graph_route("blast_radius", max_hops=6).hints["timeout"] == 20
+    assert routing.graph_route("blast_radius", max_hops=3).cost_ms == 1600
+    assert routing.search_route("a b c d e f g h i j k", 25).hints["k_multiplier"] == 1.5
+    assert routing.file_route("x").cached and routing.classify("x", "/search", True) == "hybrid"
+
+
+def test_sample_of_files(spark):
+    from skein.functions.conventions import sample_files
+
+    scored = spark.createDataFrame([(f"f{i:02}", i) for i in range(40)], "path string, score int")
+    assert {r["path"] for r in sample_files(scored, 10).collect()} == {f"f{i}" for i in range(30, 40)}
+    drawn = {r["path"] for r in sample_files(scored, 10, seed=1).collect()}
+    assert len(drawn) == 10 and {f"f{i}" for i in range(35, 40)} <= drawn and len(drawn & {f"f{i:02}" for i in range(30)}) == 5
