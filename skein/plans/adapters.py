@@ -5,8 +5,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.sources.scratch import cut
+
 _EDGES = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
  WHERE a.l_partkey <> b.l_partkey AND a.l_quantity >= 36 AND a.l_returnflag = '{flag}'"""
@@ -40,6 +44,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "traces": ((), """SELECT 1 AS trace_id, 'Traceback (most recent call last):\n  File "src/app.py", line 42, in handle\n  File "src/session.py", line 88, in <module>\n\n    at com.shop.Cart.add(Cart.java:17)\n    at render (src/view.js:9:21)\nValueError: bad' AS trace
  UNION ALL SELECT 2, '    at com.shop.Pay(Pay.java:3)\n\nFile "a b.py", line 7, in na_ve'"""),
 }
+#: Views that stand for tables which ingestion writes: built once in a session, as Parquet.
+STORED = ("imports", "calls")
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -62,12 +69,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a view; a view's text runs over DataFrames bound by name, so the catalog stays untouched."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in STORED:
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _stored:
+            _stored[key] = cut(_view(spark, sf_dir, name))
+        return _stored[key]
+    return _view(spark, sf_dir, name)
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reads, text = VIEWS[name]
     if not reads:
         return spark.sql(text)
     # {name} placeholders bind DataFrames
-    import re
-
     bound = re.sub(rf"\b(FROM|JOIN) ({'|'.join(reads)})\b", r"\1 {\2}", text)
     return spark.sql(bound, **{r: table(spark, sf_dir, r) for r in reads})
 
