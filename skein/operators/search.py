@@ -42,24 +42,25 @@ def vector_search(units: DataFrame, query: list[float], limit: int = 10, offset:
     return hits.select(id_col, *(c for c in units.columns if c not in (id_col, vector_col)), "certainty", (1 - F.col("cos")).alias("distance"))
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-
-
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """Okapi BM25 scores of the documents that hold a query word.
 
-    One pass gives lengths and the counts of query words only, so no posting list of the corpus is ever built.
+    One pass gives lengths and the counts of query words only, so no posting list of the corpus is ever built. Words are
+    runs of a-z and digits of the lower-cased text.
     """
     terms = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
-    words = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("w")).withColumn("n", F.size("w"))
+    low = F.lower(F.col(text_col))
+
+    hits = F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])"), F.lit(0))
 
     def times(term: str) -> Column:
-        return F.size(F.filter("w", lambda word: word == F.lit(term)))
+        return F.size(F.filter("hits", lambda word: word == F.lit(term)))
 
-    counts = words.select(id_col, "n", *(times(t).alias(f"t{i}") for i, t in enumerate(terms)))
+    any_term = low.rlike(f"(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])")
+    counts = docs.select(id_col, any_term.alias("holds"), F.regexp_count(low, F.lit("[a-z0-9]+")).alias("n"), hits.alias("hits"))
+    counts = counts.select(id_col, "holds", "n", *(times(t).alias(f"t{i}") for i, t in enumerate(terms)))
     totals = counts.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
-    rows = counts.where(reduce(lambda x, y: x | y, (F.col(f"t{i}") > 0 for i in range(len(terms))))).join(F.broadcast(totals))  # one row
+    rows = counts.where("holds").join(F.broadcast(totals))  # one row
 
     def part(i: int) -> Column:
         tf, df = F.col(f"t{i}"), F.col(f"d{i}")

@@ -45,7 +45,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
  UNION ALL SELECT 2, '    at com.shop.Pay(Pay.java:3)\n\nFile "a b.py", line 7, in na_ve'"""),
 }
 #: Views that stand for tables which ingestion writes: built once in a session, as Parquet.
-STORED = ("imports", "calls")
+STORED = ("imports", "calls", "belongs_to", "modified")
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
