@@ -22,13 +22,20 @@ class Scratch:
     """Parquet tables under one folder of the shared store.
 
     ``keep`` materialises a plan and returns a fresh scan of it, so a lost executor costs a re-read and no
-    recomputation. ``drop`` removes a table that nothing reads any more.
+    recomputation. ``drop`` removes a table that nothing reads any more; the folder goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
+        system, where = self._at(self.root)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def path(self, label: str) -> str:
         self._made += 1
@@ -46,6 +53,5 @@ class Scratch:
             self.remove(table.scratch_path)
 
     def remove(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        system, where = self._at(path)
+        system.delete(where, True)
