@@ -16,18 +16,17 @@ Shards are ranges of identifiers and together one sorted table. Tasks write unde
 tasks that succeeded enter the manifest, so a retried or duplicated task leaves at worst an unlisted file.
 
 Defined results: a null or empty text has the end id only; repeated ids keep an entry each, in the order of their texts'
-digests, and ``get`` returns the first; a null id is refused with an error, since a key is what an entry is found by.
+digests, and ``get`` returns the first; a null id is the empty key, before all others.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.llm import textbytes as tb
 from skein.llm.storage import Scratch
 
 MAGIC = b"SKSST01\n"
@@ -42,20 +42,22 @@ _FOOTER = struct.Struct("<QQQQQQ8s")
 _HEAD = struct.Struct("<BBBI")
 BLOCK_BYTES, BITS_PER_KEY, PROBES = 64 << 10, 10, 7
 END_ID = 0
-#: Distinct chunks of text whose ids an encoder keeps.
-CACHED = 400_000
+#: Distinct chunks of text whose ids an encoder keeps, some 30 bytes each.
+CACHED = 1_000_000
+# fixed values: first UTF-8 bytes and possible last bytes of white space beyond ASCII
+_UNICODE_SPACE = ((b"\xc2", b"\x85\xa0"), (b"\xe1\x9a", b"\x80"), (b"\xe1\xa0", b"\x8e"), (b"\xe2\x80", bytes(range(0x80, 0x8B)) + b"\xa8\xa9\xaf"), (b"\xe2\x81", b"\x9f"), (b"\xe3\x80", b"\x80"))
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, encoding each distinct chunk once.
 
-    In the tokenizer's pattern a space is the first character of a piece unless white space stands before it, and white
-    space that ends a piece is followed by white space or the text's end. Chunks cut before each space that follows a
-    character other than white space therefore encode on their own to the same ids as the whole text.
-    """
+    Texts are cut only where the tokenizer's pattern always ends a piece, so chunks encode on their own to the same ids as
+    the whole text: before white space that follows none (a space is the first character of a piece or of white space), after
+    a line feed before other characters, and before a point or comma after an ASCII letter or digit. A text with white space
+    or controls other than spaces and line feeds is encoded as a whole.
 
-    _joint = re.compile("(?<=[^\\s\u180e])(?= )")
-    _odd = re.compile("[\\s\u180e] ")
+    Chunks are found, hashed and looked up as arrays; known ones are kept as sorted 64-bit hashes with their ids.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,32 +65,122 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[str, bytes] = {}
-        self.end = np.array([end_id], self.dtype).tobytes()
-
-    def chunks(self, text: str) -> list[str]:
-        if self._odd.search(text):
-            return self._joint.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        cut = [self.chunks(t) if t else [] for t in texts]
-        known = self.known
-        new = list({x for chunks in cut for x in chunks} - known.keys())
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list({x for chunks in cut for x in chunks})
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, self.dtype).tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)) + self.end, self.dtype) for chunks in cut]
-
-
-def key_of(identifier: int) -> bytes:
-    return ((identifier + (1 << 63)) % (1 << 64)).to_bytes(8, "big")
+        self.dtype = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
+        self.spaced[[i for x, i in vocabulary.items() if x[:1] == "\u0120"]] = True
+        self.end = np.array([end_id], self.dtype)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _one_by_one(self, chunks: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
+            yield np.array(e.ids, self.dtype)
+
+    def _encode(self, chunks: list[str]) -> list[np.ndarray]:
+        """Words with their space are one piece each, so many are encoded as one text and told apart by their spaces."""
+        out: list[np.ndarray] = [self.end] * len(chunks)
+        words = [i for i, x in enumerate(chunks) if x[:1] == " " and x[1:].isalpha()]
+        others = sorted(set(range(len(chunks))).difference(words))
+        for i, ids in zip(others, self._one_by_one([chunks[i] for i in others]), strict=True):
+            out[i] = ids
+        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(chunks[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(cuts) != len(group):
+                ids, cuts = None, []
+                parts = list(self._one_by_one([chunks[i] for i in group]))
+            else:
+                parts = [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+            for i, part in zip(group, parts, strict=True):
+                out[i] = part
+        return out
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        """Adds chunks under their hashes, which are sorted and new."""
+        found = self._encode(chunks)
+        size = np.array([len(x) for x in found], np.int32)
+        at = self.used + np.cumsum(size) - size
+        self.used += int(size.sum())
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(self.used, len(self.ids)), self.dtype)])
+        self.ids[at[0] : self.used] = np.concatenate(found)
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.size = np.insert(self.hashes, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        data, offsets = tb.batch_of(texts)
+        out: list[np.ndarray] = []
+        for lo, hi in tb.runs(offsets):
+            out += self._run(*tb.part(data, offsets, lo, hi))
+        return out
+
+    def _run(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        n, n_docs = len(data), len(offsets) - 1
+        odd = np.zeros(n + 1, bool)
+        odd[:n] = ((data < 32) & (data != 10)) | (data == 127)
+        for begin, last in _UNICODE_SPACE if n and data.max() > 127 else ():
+            k = len(begin)
+            hit = np.isin(data[k:], np.frombuffer(last, np.uint8))
+            for i in range(k):
+                hit &= data[i : n - k + i] == begin[i]
+            odd[: len(hit)] |= hit
+        odd_upto = np.concatenate([[0], np.cumsum(odd)])
+        plain = odd_upto[offsets[1:]] == odd_upto[offsets[:-1]]
+        space, feed = (data == 32) | (data == 10), data == 10
+        low = tb.LOWER[data]
+        alnum = ((low >= 97) & (low < 123)) | ((data >= 48) & (data < 58))
+        cut = np.zeros(n + 1, bool)
+        cut[1:n] = (space[1:] & ~space[:-1]) | (feed[:-1] & ~space[1:]) | (alnum[:-1] & ((data[1:] == 44) | (data[1:] == 46)))
+        if not plain.all():
+            cut[:n] &= np.repeat(plain, np.diff(offsets))
+        cut[offsets] = True
+        starts = np.flatnonzero(cut[:n])
+        ends = np.append(starts[1:], n)
+        hashes = tb.span_hash(tb.prefix_sums(data), starts, ends)
+        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        new = ~_contains(self.hashes, unique)
+        if len(self.hashes) + new.sum() > CACHED:
+            self._forget()
+            new[:] = True
+        if new.any():
+            raw = data.tobytes()
+            self._learn(unique[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        place = np.searchsorted(self.hashes, unique)
+        size = self.size[place][inverse]
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        ids = self.ids[np.repeat(self.at[place][inverse] - upto[:-1], size) + np.arange(upto[-1])]
+        bounds = upto[np.searchsorted(starts, offsets)].tolist()
+        return [np.concatenate([ids[a:b], self.end]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] if n_docs else []
+
+
+def _contains(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(wanted), bool)
+    at = np.searchsorted(known, wanted)
+    return known[np.minimum(at, len(known) - 1)] == wanted
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """This process's encoder, which keeps its chunks from task to task."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
+def key_of(identifier: int | None) -> bytes:
+    return b"" if identifier is None else ((identifier + (1 << 63)) % (1 << 64)).to_bytes(8, "big")
+
+
+def id_of(key: bytes) -> int | None:
+    return int.from_bytes(key, "big") - (1 << 63) if key else None
 
 
 def _probes(key: bytes, bits: int) -> list[int]:
@@ -104,7 +196,7 @@ class ShardWriter:
         self.block, self.index, self.keys, self.at, self.count, self.tokens = bytearray(), bytearray(), [], 0, 0, 0
         self.codec, self.last, self.blocks = pa.Codec("zstd", 1), b"", 0
 
-    def add(self, identifier: int, ids: np.ndarray) -> None:
+    def add(self, identifier: int | None, ids: np.ndarray) -> None:
         key = key_of(identifier)
         if self.count and key < self.keys[-1]:
             raise ValueError("keys must ascend")
@@ -171,12 +263,12 @@ class Shard:
             yield key, np.frombuffer(data, f"<u{width}", n, i + rest)
             i += rest + width * n
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for block in range(len(self.places)):
             for key, ids in self._entries(block):
-                yield int.from_bytes(key, "big") - (1 << 63), ids
+                yield id_of(key), ids
 
-    def get(self, identifier: int) -> np.ndarray | None:
+    def get(self, identifier: int | None) -> np.ndarray | None:
         key = key_of(identifier)
         if any(not self.bloom[p >> 3] & (128 >> (p & 7)) for p in _probes(key, self.bits)):
             return None
@@ -206,21 +298,20 @@ def _write(folder: str, tokenizer: str, end_id: int) -> Callable:
         name = f"{place}/{uuid.uuid4().hex}.sst"
         for batch in batches:
             if writer is None and batch.num_rows:
-                encoder = Encoder(tokenizer, end_id)
+                encoder = encoder_of(tokenizer, end_id)
                 system.create_dir(place, recursive=True)
                 sink = system.open_output_stream(name)
                 writer = ShardWriter(sink)
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
-                for identifier, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
-                    if identifier is None:
-                        raise ValueError("a document without an id can't be stored under a key")
+            for i in range(0, batch.num_rows, 1000):
+                rows = batch.slice(i, 1000)
+                for identifier, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1)), strict=True):
+                    first, last = identifier if not writer.count else first, identifier
                     writer.add(identifier, ids)
-                    first, last = identifier if first is None else first, identifier
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rpartition('/')[2]}"], "first": [first], "last": [last], "n_docs": [writer.count], "n_tokens": [writer.tokens]})
+            row = f"{folder}/{name.rpartition('/')[2]}", first, last, writer.count, writer.tokens
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]]), *(pa.array([x], pa.int64()) for x in row[1:])], ["path", "first", "last", "n_docs", "n_tokens"])
 
     return run
 
@@ -233,6 +324,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     return ordered.mapInArrow(_write(folder, tokenizer, end_id), MANIFEST)
 
 
+def _entries_batch(out: dict[str, list[int | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+
+
 def _read(batches):
     for batch in batches:
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -242,17 +337,17 @@ def _read(batches):
                     out[k].append(v)
                 start += len(ids)
                 if len(out["start"]) == 10_000:
-                    yield pa.RecordBatch.from_pydict(out)
+                    yield _entries_batch(out)
                     out = {k: [] for k in out}
             shard.close()
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+            yield _entries_batch(out)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per entry of the listed shards: doc_id, start among all ids in key order, n_tokens, ids_crc32."""
     before = F.sum("n_tokens").over(Window.orderBy("first", "last", "path").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.withColumn("start", F.coalesce(before, F.lit(0)))  # one row per shard
-    return files.select("path", "start").repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("path", "start").repartition(max(1, manifest.count())).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
