@@ -80,8 +80,8 @@ def items(spark):
 
 @pytest.mark.parametrize("block_words", [500_000, 1])
 def test_contamination(spark, items, block_words):
-    renamed = ITEM.replace("Springfield", "Shelbyville").replace("60", "75").replace("12", "9").replace("km", "miles").replace("Alice", "Bob")
-    mixed = renamed.replace("Bob counts 9", "Bob counts 44")
+    renamed = ITEM.replace("Springfield", "Shelbyville").replace("60", "75").replace("12", "9").replace("km", "miles").replace("Alice", "Carol")
+    mixed = renamed.replace("Carol counts 9", "Carol counts 44")
     rows = [(1, "Before. " + ITEM + " After."), (2, "Before. " + renamed), (3, mixed), (4, "nothing of this kind " * 30), (5, None), (6, ""), (7, "now six words stand in this item, there"), (8, "too short"), (9, ITEM[:60])]
     got = {r["doc_id"]: (r["item_ids"], r["verbatim"], r["kept"]) for r in decontaminate.contamination(frame(spark, rows), items, block_words=block_words).collect()}
     assert got[1] == ([1], True, False)
