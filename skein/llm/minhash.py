@@ -2,16 +2,19 @@
 
 1. Each document's distinct word shingles are hashed to 64 bits and give ``BANDS * ROWS`` minima of universal hashes.
 2. Documents with equal sets form a class; only the class's smallest id goes on.
-3. Representatives that share a band's minima share a bucket. A bucket never emits all its pairs: in each round it names
-   pivots from the bucket's smallest components and pairs them with the members of other components. A pivot that has
-   met its bucket leaves it; pairs already connected are never looked at; a bucket within one component is finished. The
-   number of pivots doubles by round, so the loop ends after a logarithmic number of rounds, with every pair of a bucket
-   either compared or known to be connected.
+3. Representatives that share a band's minima share a bucket. A bucket never emits all its pairs. First it pairs its
+   smallest id with the others, and one within a component is finished. Of the documents in other buckets, shingles that
+   at most ``RARE`` of them hold are rare. Pairs that share a rare shingle come from an index of those, of bounded lists;
+   all other pairs can share no more than their shingles that aren't rare, and many documents prove by that bound that
+   nothing left in their bucket can reach the threshold. What is left outside of a bucket's largest component then is a query
+   set, searched block by block against all documents of the buckets that are still open: a task indexes the sets of a block of
+   queries, streams a part of the documents past it, counts shared shingles exactly and emits links only. So every pair of a
+   bucket is compared, excluded by its bound or known to be connected.
 4. A pair is rejected if its minima agree far too seldom, and is confirmed on the full shingle sets of both whole texts.
 5. Components of the links come from alternating large-star and small-star, with each result written to the shared store.
 
 At 40 bands of 5 rows, a pair of similarity 0.8 shares no bucket with a chance of 1.2e-7, and passes the signature test
-(60 % of 200 minima) but for about 1e-11. Bucket key joins and pair joins are equi-joins that adaptive execution splits.
+(65 % of 200 minima) but for about 1e-7. Bucket key joins and pair joins are equi-joins that adaptive execution splits.
 
 Defined results: a text without words has an empty set, no link and its own id as component; a text of fewer words than a
 shingle is one shingle; a null text is empty; rows with a null id come back with null component and kept; repeated rows of
@@ -24,13 +27,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import textbytes as tb
 from skein.llm.storage import Scratch
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS, RARE = 40, 5, 16
+#: Documents in a block of queries, and in a part that is streamed past it.
+QUERIES, PART = 1024, 512
 #: Elements of a block of universal hashes: hashes times shingles.
 _BLOCK = 1 << 17
 
@@ -107,24 +112,99 @@ def _confirm(size: int, percent: int) -> Callable:
     return run
 
 
+class _Index:
+    """Inverted lists over the sets of a block of queries."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.shingles, first = np.unique(flat[order], return_index=True)
+        self.of, self.first = of[order], np.append(first, len(flat))
+
+    def links(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        """The numbers of the queries that a set is linked with."""
+        at = np.searchsorted(self.shingles, shingles)
+        at = at[self.shingles[np.minimum(at, len(self.shingles) - 1)] == shingles]
+        n = self.first[at + 1] - self.first[at]
+        spot = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.of[spot], minlength=len(self.sizes))
+        return np.flatnonzero((100 + percent) * both >= percent * (self.sizes + len(shingles)))
+
+
+class _Joined:
+    """Components that links of a task have joined; only links that join two are worth sending."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _search(size: int, percent: int) -> Callable:
+    """Rows sorted by block, part and side: queries (side 0) are indexed, documents (side 1) searched.
+
+    A link is sent as one between the components of its documents, each named by a document.
+    """
+
+    def run(batches):
+        key, named, sets, index, joined = None, [], [], None, _Joined()
+        for batch in batches:
+            data, offsets = tb.batch_of(batch.column("text"))
+            component, side, block, part = (batch.column(c).to_pylist() for c in ("component", "side", "block", "part"))
+            out = []
+            for lo, hi in tb.runs(offsets):
+                for i, own in enumerate(shingle_sets(*tb.part(data, offsets, lo, hi), size), lo):
+                    if (block[i], part[i]) != key:
+                        key, named, sets, index = (block[i], part[i]), [], [], None
+                    if side[i] == 0:
+                        named.append(component[i])
+                        sets.append(own)
+                    elif sets:
+                        index = index or _Index(sets)
+                        for q in {named[k] for k in index.links(own, percent).tolist()}:
+                            if joined.join(q, component[i]):
+                                out.append((q, component[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return run
+
+
+def _tokens(size: int) -> Callable:
+    def run(batches):
+        for batch in batches:
+            data, offsets = tb.batch_of(batch.column(1))
+            for lo, hi in tb.runs(offsets):
+                sets = shingle_sets(*tb.part(data, offsets, lo, hi), size)
+                at = pa.array(np.repeat(np.arange(lo, hi), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+
+    return run
+
+
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Rows (node, component) of all nodes with an edge (u, v); the component is its smallest node.
 
     Large-star hangs each node's larger neighbours under its smallest one; small-star does so with the smaller ones. Both
     aggregate with a map-side combine and join on the node, until no edge changes.
     """
-    now = scratch.keep(_oriented(edges, "u", "v"), "edges")
-    seen = None
+    now, seen = scratch.keep(_oriented(edges, "u", "v"), "edges"), None
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _oriented(both.where("v > u").join(least, "u"), "v", "m")
-        large = scratch.keep(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
-        small = _oriented(moved.select(F.col("v").alias("x"), "m").union(moved.select(F.col("u").alias("x"), "m")), "x", "m")
-        small = scratch.keep(small, "small")
-        scratch.drop(now, large)
+        moved = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = scratch.keep(_oriented(moved.select(F.explode(F.array("u", "v")).alias("x"), "m"), "x", "m"), "stars")
+        scratch.drop(now)
         now = small
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
@@ -146,12 +226,11 @@ class _Links:
 
     def __init__(self, scratch: Scratch, signed: DataFrame, texts: DataFrame, size: int, percent: int, count: int):
         self.scratch, self.signed, self.texts, self.size, self.percent, self.count = scratch, signed, texts, size, percent, count
-        self.edges: DataFrame | None = None
         self.components: DataFrame | None = None
 
-    def add(self, pairs: DataFrame) -> bool:
-        """pairs: (u, v), distinct. True if a link was found."""
-        least = int(self.count * max(0, self.percent - 20) / 100)
+    def add(self, pairs: DataFrame) -> None:
+        """Confirms pairs (u, v), which are distinct."""
+        least = int(self.count * max(0, self.percent - 15) / 100)
         sides = [self.signed.select(F.col("doc_id").alias(x), F.col("minima").alias(f"minima_{x}")) for x in "uv"]
         pairs = pairs.join(sides[0], "u").join(sides[1], "v").where(_agree(F.col("minima_u"), F.col("minima_v")) >= least).select("u", "v")
         pairs = self.scratch.keep(pairs, "pairs")
@@ -159,12 +238,14 @@ class _Links:
         ready = pairs.join(sides[1], "v").join(sides[0], "u").select("u", "v", "text_u", "text_v")
         links = self.scratch.keep(ready.mapInArrow(_confirm(self.size, self.percent), "u long, v long"), "links")
         self.scratch.drop(pairs)
+        self.link(links)
+
+    def link(self, links: DataFrame) -> None:
         if links.isEmpty():
-            return False
+            return
         # the earlier components are stars, so stars and new links together have the same components as all links
         joined = links if self.components is None else links.union(self.components.select(F.col("node").alias("u"), F.col("component").alias("v")))
         self.components = connected_components(self.scratch, joined)
-        return True
 
     def labels(self, nodes: DataFrame) -> DataFrame:
         """nodes with the column component beside doc_id."""
@@ -173,6 +254,58 @@ class _Links:
         return nodes.join(self.components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def _open(scratch: Scratch, found: _Links, rows: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, with their component and their bucket's largest one."""
+    labelled = found.labels(rows)
+    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return scratch.keep(labelled.join(split.drop("parts"), "bucket"), "open")
+
+
+def _compare_rest(scratch: Scratch, found: _Links, rows: DataFrame, size: int, percent: int) -> None:
+    """Compares what the first round has left, by rare shingles, bounds and a search in blocks."""
+    some = rows.select("doc_id").distinct()
+    tokens = scratch.keep(found.texts.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_tokens(size), "doc_id long, shingle long"), "tokens")
+    held = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") <= RARE)
+    rare = scratch.keep(tokens.join(held, "shingle"), "rare")
+    sizes = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rare")), "doc_id", "left")
+    sizes = scratch.keep(sizes.select("doc_id", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common")), "sizes")
+
+    def reaches(common: Column, n: Column, m: Column) -> Column:
+        """Whether so many common shingles can be enough between sets of n and m."""
+        return (100 + percent) * common >= percent * (n + m)
+
+    sized = found.labels(sizes)
+    lists = rare.where("docs > 1").join(sized, "doc_id").groupBy("shingle").agg(F.collect_list(F.struct("doc_id", "n", "component")).alias("u"))  # of RARE at most
+    pairs = lists.select(F.explode("u").alias("u"), F.col("u").alias("all")).select("u", F.explode("all").alias("v"))
+    pairs = pairs.where((F.col("u.doc_id") < F.col("v.doc_id")) & (F.col("u.component") != F.col("v.component")) & reaches(F.least("u.n", "v.n"), F.col("u.n"), F.col("v.n")))
+    medoids = rows.join(sizes, "doc_id").groupBy("bucket").agg(F.min(F.struct((F.col("n") - F.col("common")).alias("rare"), "doc_id"))["doc_id"].alias("p"))
+    stars = rows.join(medoids, "bucket").where("doc_id != p").select(F.least("p", "doc_id").alias("u"), F.greatest("p", "doc_id").alias("v"))
+    found.add(pairs.select(F.col("u.doc_id").alias("u"), F.col("v.doc_id").alias("v")).union(stars).distinct())
+
+    rows = rows.join(sizes, "doc_id")
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "bucket").where(reaches(F.col("common"), F.col("n"), F.col("least"))).select("bucket", "doc_id")
+    left = _open(scratch, found, rows)
+    docs = scratch.keep(left.groupBy("doc_id").agg(F.max((F.col("component") != F.col("largest")).cast("int")).alias("query"), F.min("component").alias("component")), "search")
+    n_docs, n_queries = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("query"), F.lit(0))).first()
+    if not n_queries:
+        return
+    blocks, parts = -(-n_queries // QUERIES), -(-n_docs // PART)
+
+    def dealt(salt: int, n: int) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    texts = found.texts.join(docs, "doc_id").select("doc_id", "component", "text", "query")
+    queries = texts.where("query = 1").select("doc_id", "component", "text", dealt(1, blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("side"))
+    against = texts.select("doc_id", "component", "text", every(blocks).alias("block"), dealt(2, parts).alias("part"), F.lit(1).alias("side"))
+    met = queries.unionByName(against).repartition("block", "part").sortWithinPartitions("block", "part", "side", "doc_id")
+    found.link(scratch.keep(met.select("component", "text", "block", "part", "side").mapInArrow(_search(size, percent), "u long, v long"), "links"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per id: n_shingles, component_id (the smallest id reachable over links) and kept.
 
@@ -196,22 +329,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = _Links(scratch, scratch.keep(signed.join(members, "doc_id", "left_semi").select("doc_id", "minima").dropDuplicates(["doc_id"]), "minima"), texts, shingle_words, percent, count)
 
     found.add(buckets.where("doc_id != pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct())
-    open_rows, pivots = buckets.where("doc_id != pivot").select("bucket", "doc_id"), 1
-    while True:
-        labelled = found.labels(open_rows)
-        parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        split = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", F.col("top.component").alias("largest"))
-        left = scratch.keep(labelled.join(split, "bucket"), "open")
-        if left.isEmpty():
-            break
-        # members outside a bucket's largest component are its possible pivots; ranks are cut off before the shuffle
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        outside = left.where("component != largest").withColumn("rank", rank).where(F.col("rank") <= pivots)
-        chosen = scratch.keep(outside.select("bucket", F.col("doc_id").alias("p"), F.col("component").alias("pc")), "pivots")
-        pairs = left.join(chosen, "bucket").where("component != pc").select(F.least("p", "doc_id").alias("u"), F.greatest("p", "doc_id").alias("v")).distinct()
-        found.add(pairs)
-        open_rows = left.select("bucket", "doc_id").join(chosen.select("bucket", F.col("p").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-        pivots *= 2
+    open_rows = _open(scratch, found, buckets.where("doc_id != pivot").select("bucket", "doc_id"))
+    if not open_rows.isEmpty():
+        _compare_rest(scratch, found, open_rows.select("bucket", "doc_id"), shingle_words, percent)
 
     rows_out = full.join(classes, ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("id"), "n_shingles", F.col("rep").alias("doc_id"))
     linked = found.labels(rows_out).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
