@@ -5,10 +5,11 @@ begin a sentence; a unit is a word of a fixed list that follows a number. Window
 joined with all windows of all documents. The join is against a bounded block of items at a time, as sorted hashes that
 every task holds, so documents are never shuffled and any number of items is checked exactly. A hit is confirmed on the
 canonical words. The hits of a document on an item that stand one behind the other (at one distance between document and
-item) form an alignment; within it each placeholder's value must go to one value only, and different ones to different
-ones. Consistent alignments count, verbatim or re-parameterised.
+item) form an alignment. A stretch of it is consistent if each placeholder value of the item goes to one value of the
+document only; different ones may go to the same.
 
-A document is contaminated if a consistent alignment covers ``MIN_WORDS`` words in a row or half of an item. An item of
+A document is contaminated if a consistent stretch has ``MIN_WORDS`` words in a row, or if half of an item stands in a
+verbatim stretch or between two conflicts, where each stretch ends at the first value that conflicts with it. An item of
 fewer words than a window is one window as a whole; items under ``LEAST_WORDS`` words name nothing and match nothing.
 
 Defined results: null and empty texts match nothing and are kept; repeated rows give repeated results; without items every
@@ -110,14 +111,28 @@ def _hits(tokens: Tokens, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray
         yield here[same], there[same], size
 
 
-def _consistent(mine: np.ndarray, theirs: np.ndarray) -> bool:
-    """Whether values map one to one."""
-    pairs = set(zip(theirs.tolist(), mine.tolist(), strict=True))
-    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-
-
-def _alignments(tokens: Tokens, items: Items) -> Iterator[tuple[int, int, int, bool, bool]]:
-    """(document, item, words in a row, half or more of the item, verbatim) of consistent alignments."""
+def _stretches(mine: np.ndarray, theirs: np.ndarray, slot: np.ndarray) -> tuple[list, list, list]:
+    """Longest consistent stretches, which may overlap; those between conflicts, from the left; and verbatim ones."""
+    longest, between, since, begin = [], [], 0, 0
+    seen: dict = {}  # by item value: its last document value, where, and where the last other one was
+    spots = np.flatnonzero(slot)
+    for s, key, value in zip(spots.tolist(), theirs[spots].tolist(), mine[spots].tolist(), strict=True):
+        old, last, other = seen.get(key, (value, s, -1))
+        if old != value:
+            other = last
+        seen[key] = value, s, other
+        if other >= since:
+            longest.append((since, s))
+            since = other + 1
+        if other >= begin:
+            between.append((begin, s))
+            begin = s
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mine == theirs, [False]]).astype(np.int8)))
+    return [*longest, (since, len(mine))], [*between, (begin, len(mine))], edges.reshape(-1, 2).tolist()
+
+
+def _alignments(tokens: Tokens, items: Items) -> Iterator[tuple[int, int, int, bool]]:
+    """(document, item, words in a row, verbatim) of the stretches that count."""
     found = [(h, t, s) for h, t, s in _hits(tokens, items) if len(h)]
     if not found:
         return
@@ -132,23 +147,26 @@ def _alignments(tokens: Tokens, items: Items) -> Iterator[tuple[int, int, int, b
         a, b = here[group[0]], here[group[-1]] + size[group[-1]]
         c = there[group[0]]
         mine, theirs, slot = tokens.own[a:b], items.tokens.own[c : c + b - a], tokens.slot[a:b]
-        if _consistent(mine[slot], theirs[slot]):
-            i = item[group[0]]
-            yield int(doc[group[0]]), int(i), int(b - a), 2 * (b - a) >= items.sizes[i], bool((mine == theirs).all())
+        i = item[group[0]]
+        longest, between, verbatim = _stretches(mine, theirs, slot)
+        half = min(MIN_WORDS, (int(items.sizes[i]) + 1) // 2)
+        for stretches, least in ((longest, MIN_WORDS), (between, half), (verbatim, half)):
+            for lo, hi in stretches:
+                if hi - lo >= least:
+                    yield int(doc[group[0]]), int(i), hi - lo, stretches is verbatim
 
 
 SCHEMA = "doc_id {id}, item_ids array<long>, n_words long, verbatim boolean"
 
 
 def _found(texts: pa.Array, items: Items) -> tuple[list[set[int]], list[int], list[bool]]:
-    """By text: the items it holds, the words of the longest alignment that counts, and whether one is verbatim."""
+    """By text: the items it holds, the words of the longest stretch that counts, and whether one is verbatim."""
     data, offsets = tb.batch_of(texts)
     ids, longest, verbatim = [set() for _ in range(len(texts))], [0] * len(texts), [False] * len(texts)
     for lo, hi in tb.runs(offsets):
-        for doc, item, n, half, equal in _alignments(Tokens(*tb.part(data, offsets, lo, hi)), items):
-            if n >= MIN_WORDS or half:
-                ids[lo + doc].add(int(items.ids[item]))
-                longest[lo + doc], verbatim[lo + doc] = max(longest[lo + doc], n), verbatim[lo + doc] or equal
+        for doc, item, n, equal in _alignments(Tokens(*tb.part(data, offsets, lo, hi)), items):
+            ids[lo + doc].add(int(items.ids[item]))
+            longest[lo + doc], verbatim[lo + doc] = max(longest[lo + doc], n), verbatim[lo + doc] or equal
     return ids, longest, verbatim
 
 

@@ -101,6 +101,23 @@ def test_inconsistent_slots_are_no_copy(spark):
     assert got == {1: False, 2: True}
 
 
+def test_consistent_stretches_count(spark):
+    """A conflict ends a stretch, not the alignment, and two item values may go to the same one."""
+    sums = "Take 3 of the red pens and 5 of the blue pens to the 2 boxes on the table"
+    late = "Put 7 red lamps near 9 doors, then 7 green lamps near the long wall of the old house by the lake"
+    docs = [
+        (1, ITEM.replace("60 wheels", "61 wheels")),
+        (2, sums.replace("3", "4").replace("5", "4").replace("2", "9")),
+        (3, late.replace("7 red", "8 red").replace("9", "2")),
+        (4, "Put 8 red lamps near 2 doors, then 6 green lamps near nothing at all"),
+    ]
+    bench = spark.createDataFrame([(1, ITEM), (2, sums), (3, late)], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["n_words"], r["verbatim"], r["kept"]) for r in decontaminate.contamination(frame(spark, docs), bench).collect()}
+    assert got == {1: ([1], 20, True, False), 2: ([2], 19, False, False), 3: ([3], 20, True, False), 4: ([], 0, False, True)}
+    left = decontaminate.remove_contaminated(frame(spark, docs), bench)
+    assert [r["doc_id"] for r in left.collect()] == [4]
+
+
 def test_contamination_equals_plain_windows(spark, sf):
     """The generated items have no numbers or names, so canonical windows are windows of words."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
