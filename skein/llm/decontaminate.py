@@ -1,11 +1,13 @@
 """Benchmark decontamination that also catches re-parameterised questions.
 
-Words are made canonical: numbers, units and names become typed placeholders. A name is a word with a capital that doesn't
-begin a sentence; a unit is a word of a fixed list that follows a number. Windows of ``WINDOW`` canonical tokens of the items are hashed and
-joined with all windows of all documents. The join is against a bounded block of items at a time, as sorted hashes that
+Words are made canonical: numbers, units and names become typed placeholders. A name is a word with a capital; a unit is a
+word of a fixed list that follows a number. A word that begins a sentence may be a name or not, and a verbatim copy may
+differ in case and line breaks, so texts have three readings: words as they are, names where no sentence begins, and names
+wherever a capital is. Where numbers hold points or commas, texts are also read with such numbers as one word each.
+Windows of ``WINDOW`` tokens of the items are hashed by reading and joined with all windows of all documents. The join is against a bounded block of items at a time, as sorted hashes that
 every task holds, so documents are never shuffled and any number of items is checked exactly. A hit is confirmed on the
 canonical words. The hits of a document on an item that stand one behind the other (at one distance between document and
-item) form an alignment. A stretch of it is consistent if each placeholder value of the item goes to one value of the
+item) form an alignment, by the second reading alone and by all together. A stretch of it is consistent if each placeholder value of the item goes to one value of the
 document only; different ones may go to the same.
 
 A document is contaminated if a consistent stretch has ``MIN_WORDS`` words in a row, or if half of an item stands in a
@@ -29,25 +31,45 @@ from pyspark.sql import functions as F
 from skein.llm import textbytes as tb
 
 WINDOW, MIN_WORDS, LEAST_WORDS = 8, 12, 5
-#: Words of items in a block; some 100 bytes of a task's memory for each.
+#: Words of items in a block; some 250 bytes of a task's memory for each.
 BLOCK_WORDS = 500_000
 # fixed values: unit words that follow a number
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "miles", "mile", "meters", "metres", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "dollars", "cents", "euros", "percent", "liters", "litres", "pounds", "degrees")
 _WORD = tb.word_class(bytes(b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123)))
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x51, 0x52, 0x53))
+#: Bytes that UTF-8 never has stand for the commas and points of numbers.
+_COMMA, _POINT = 0xFE, 0xFF
+
+
+def _join_numbers(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes with commas and points between two digits of a text made part of the word."""
+    digit = (data >= 48) & (data < 58)
+    at = np.flatnonzero((data == 44) | (data == 46))
+    at = at[(at > 0) & (at < len(data) - 1)]
+    at = at[digit[at - 1] & digit[at + 1]]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    at = at[~edge[at] & ~edge[at + 1]]
+    if len(at):
+        data = data.copy()
+        data[at] = np.where(data[at] == 44, _COMMA, _POINT)
+    return data
 
 
 class Tokens:
-    """Canonical token hashes of a batch of texts, and each token's place."""
+    """Token hashes of a batch of texts by reading, and each token's place."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, joined: bool = False):
+        data = _join_numbers(data, offsets) if joined else data
         self.data, self.low = data, tb.LOWER[data]
         self.starts, self.ends, self.first = tb.words(data, offsets, _WORD)
         self.own = tb.span_hash(tb.prefix_sums(self.low), self.starts, self.ends)
         self.hashes = self.own.copy()
+        self.readings = [self.hashes, self.own, self.hashes]
+        self.slot, self.numbers = np.zeros(len(self.starts), bool), False
         if not len(self.starts):
             return
-        digit = (data >= 48) & (data < 58)
+        digit = ((data >= 48) & (data < 58)) | (data >= _COMMA)
         number = np.logical_and.reduceat(np.append(digit, True), np.stack([self.starts, self.ends], 1).ravel())[::2]
         after = np.append([False], number[:-1])
         new = np.zeros(len(self.starts), bool)
@@ -60,10 +82,13 @@ class Tokens:
         self.hashes[number] = _NUMBER
         self.hashes[capital & ~new & ~number] = _NAME
         self.hashes[np.isin(self.own, _UNIT_HASHES) & after & ~new] = _UNIT
-        self.slot = self.hashes != self.own
+        self.slot, self.numbers = self.hashes != self.own, bool(number.any())
+        anywhere = self.hashes.copy()
+        anywhere[capital & new & ~number] = _NAME
+        self.readings = [self.hashes, self.own, anywhere]
 
-    def windows(self, size: int) -> np.ndarray:
-        return tb.shingles(self.hashes, size)
+    def windows(self, size: int, reading: int = 0) -> np.ndarray:
+        return tb.shingles(self.readings[reading], size)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -76,39 +101,41 @@ _UNIT_HASHES = _unit_hashes()
 
 
 class Items:
-    """A block of items: token hashes and, by window size, sorted window hashes with item and position."""
+    """A block of items: token hashes and, by window size and reading, sorted window hashes with item and position."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], joined: bool = False):
         self.ids = np.array(ids, np.int64)
-        self.tokens = Tokens(*tb.batch_of(pa.array(texts, pa.string())))
+        self.tokens = Tokens(*tb.batch_of(pa.array(texts, pa.string())), joined)
+        #: The items with numbers read as one word each; without numbers both are the same.
+        self.joined = Items(ids, texts, True) if self.tokens.numbers and not joined else None
         first = self.tokens.first
         self.sizes = np.diff(first)
         self.windows = {}
         for size in sorted({min(WINDOW, int(n)) for n in self.sizes if n >= LEAST_WORDS}):
             whole = [i for i, n in enumerate(self.sizes) if (n >= WINDOW if size == WINDOW else n == size)]
             at = np.concatenate([np.arange(first[i], first[i + 1] - size + 1) for i in whole])
-            hashes = self.tokens.windows(size)[at]
-            order = np.argsort(hashes, kind="stable")
-            self.windows[size] = hashes[order], at[order]
+            for reading in range(3):
+                hashes = self.tokens.windows(size, reading)[at]
+                order = np.argsort(hashes, kind="stable")
+                self.windows[size, reading] = hashes[order], at[order]
         self.item_of = np.repeat(np.arange(len(ids)), self.sizes)
 
 
-def _hits(tokens: Tokens, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(document token, item token, size) of all windows with equal canonical tokens."""
-    for size, (hashes, at) in items.windows.items():
-        mine = tokens.windows(size)
-        lo, hi = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
-        n = hi - lo
-        spots = np.flatnonzero(n)
+def _hits(tokens: Tokens, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(document token, item token, size, reading) of all windows with equal tokens in a reading."""
+    for (size, reading), (hashes, at) in items.windows.items():
+        mine = tokens.windows(size, reading)
+        lo = np.searchsorted(hashes, mine, "left")
+        spots = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == mine)
         doc = np.searchsorted(tokens.first, spots, "right") - 1
-        inside = spots + size <= tokens.first[doc + 1]
-        spots = spots[inside]
-        here = np.repeat(spots, n[spots])
-        there = np.concatenate([at[lo[s] : hi[s]] for s in spots]) if len(spots) else np.zeros(0, np.int64)
+        spots = spots[spots + size <= tokens.first[doc + 1]]
+        lo, hi = lo[spots], np.searchsorted(hashes, mine[spots], "right")
+        here = np.repeat(spots, hi - lo)
+        there = np.concatenate([at[a:b] for a, b in zip(lo, hi, strict=True)]) if len(spots) else np.zeros(0, np.int64)
         same = np.ones(len(here), bool)
         for k in range(size):
-            same &= tokens.hashes[here + k] == items.tokens.hashes[there + k]
-        yield here[same], there[same], size
+            same &= tokens.readings[reading][here + k] == items.tokens.readings[reading][there + k]
+        yield here[same], there[same], size, reading
 
 
 def _stretches(mine: np.ndarray, theirs: np.ndarray, slot: np.ndarray) -> tuple[list, list, list]:
@@ -133,11 +160,18 @@ def _stretches(mine: np.ndarray, theirs: np.ndarray, slot: np.ndarray) -> tuple[
 
 def _alignments(tokens: Tokens, items: Items) -> Iterator[tuple[int, int, int, bool]]:
     """(document, item, words in a row, verbatim) of the stretches that count."""
-    found = [(h, t, s) for h, t, s in _hits(tokens, items) if len(h)]
+    found = [x for x in _hits(tokens, items) if len(x[0])]
+    first = [x for x in found if x[3] == 0]
+    yield from _aligned(tokens, items, found)
+    if first and len(first) < len(found):
+        yield from _aligned(tokens, items, first)
+
+
+def _aligned(tokens: Tokens, items: Items, found: list) -> Iterator[tuple[int, int, int, bool]]:
     if not found:
         return
-    here, there = np.concatenate([h for h, _, _ in found]), np.concatenate([t for _, t, _ in found])
-    size = np.concatenate([np.full(len(h), s) for h, _, s in found])
+    here, there = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+    size = np.concatenate([np.full(len(x[0]), x[2]) for x in found])
     doc, item = np.searchsorted(tokens.first, here, "right") - 1, items.item_of[there]
     order = np.lexsort((here, here - there, item, doc))
     here, there, size, doc, item = here[order], there[order], size[order], doc[order], item[order]
@@ -146,7 +180,8 @@ def _alignments(tokens: Tokens, items: Items) -> Iterator[tuple[int, int, int, b
     for group in np.split(np.arange(len(here)), cut):
         a, b = here[group[0]], here[group[-1]] + size[group[-1]]
         c = there[group[0]]
-        mine, theirs, slot = tokens.own[a:b], items.tokens.own[c : c + b - a], tokens.slot[a:b]
+        mine, theirs = tokens.own[a:b], items.tokens.own[c : c + b - a]
+        slot = tokens.slot[a:b] | items.tokens.slot[c : c + b - a] | (mine != theirs)
         i = item[group[0]]
         longest, between, verbatim = _stretches(mine, theirs, slot)
         half = min(MIN_WORDS, (int(items.sizes[i]) + 1) // 2)
@@ -164,9 +199,11 @@ def _found(texts: pa.Array, items: Items) -> tuple[list[set[int]], list[int], li
     data, offsets = tb.batch_of(texts)
     ids, longest, verbatim = [set() for _ in range(len(texts))], [0] * len(texts), [False] * len(texts)
     for lo, hi in tb.runs(offsets):
-        for doc, item, n, equal in _alignments(Tokens(*tb.part(data, offsets, lo, hi)), items):
-            ids[lo + doc].add(int(items.ids[item]))
-            longest[lo + doc], verbatim[lo + doc] = max(longest[lo + doc], n), verbatim[lo + doc] or equal
+        part = tb.part(data, offsets, lo, hi)
+        for block in filter(None, (items, items.joined)):
+            for doc, item, n, equal in _alignments(Tokens(*part, block is items.joined), block):
+                ids[lo + doc].add(int(block.ids[item]))
+                longest[lo + doc], verbatim[lo + doc] = max(longest[lo + doc], n), verbatim[lo + doc] or equal
     return ids, longest, verbatim
 
 

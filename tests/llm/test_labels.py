@@ -118,6 +118,25 @@ def test_consistent_stretches_count(spark):
     assert [r["doc_id"] for r in left.collect()] == [4]
 
 
+def test_readings(spark):
+    """Names that begin sentences, copies in other case or with other line breaks, and numbers with separators."""
+    tom = "Tom has 12 red marbles. Anna gives Tom 5 more. Tom then loses 3. How many does Tom have?"
+    town = "Near Ulm the river Danube meets Blau, and from Ulm to Passau the Danube flows east past Regensburg"
+    coins = "The chest holds 950 coins while the other one by the door holds 3.5 kg of silver and 20 of lead"
+    docs = [
+        (1, tom.replace("Tom", "Raj").replace("Anna", "Mei")),
+        (2, town.lower()),
+        (3, town.replace(" Danube", "\nDanube").replace(" Passau", "\nPassau")),
+        (4, coins.replace("950", "1,250").replace("3.5", "4").replace("20", "1,000.75")),
+        (5, "Raj has 4 green boxes. Mei takes Raj 9 less. Raj then finds 2. How few does Mei want?"),
+    ]
+    bench = spark.createDataFrame([(1, tom), (2, town), (3, coins)], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["n_words"], r["verbatim"], r["kept"]) for r in decontaminate.contamination(frame(spark, docs), bench).collect()}
+    assert got == {1: ([1], 19, False, False), 2: ([2], 18, True, False), 3: ([2], 18, True, False), 4: ([3], 21, False, False), 5: ([], 0, False, True)}
+    left = decontaminate.remove_contaminated(frame(spark, docs), bench)
+    assert [r["doc_id"] for r in left.collect()] == [5]
+
+
 def test_contamination_equals_plain_windows(spark, sf):
     """The generated items have no numbers or names, so canonical windows are windows of words."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
