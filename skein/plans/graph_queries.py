@@ -138,6 +138,12 @@ def git_blame(spark: SparkSession, sf: str) -> DataFrame:
     return graph.git_blame(modified.where("file_path % 10 = 3"), commits, lines=(20, 40)).withColumn("line_ranges", F.array_join("line_ranges", ","))
 
 
+@query("git_blame_all", ORACLES["git_blame"].replace(" AND m.file_path % 10 = 3", ""))
+def git_blame_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file."""
+    return graph.git_blame(*tables(spark, sf, "modified", "commits"), lines=(20, 40)).withColumn("line_ranges", F.array_join("line_ranges", ","))
+
+
 @query("latest_commit", "SELECT file_path, commit_hash, author, commit_date FROM (SELECT DISTINCT m.file_path, c.*, row_number() OVER (PARTITION BY m.file_path ORDER BY commit_date DESC, c.commit_hash DESC) AS r FROM (SELECT DISTINCT file_path, commit_hash FROM modified) m JOIN commits c ON c.commit_hash = m.commit_hash) WHERE r = 1", "modified", "commits")
 def latest_commit(spark: SparkSession, sf: str) -> DataFrame:
     return graph.latest_commit(*tables(spark, sf, "modified", "commits"))
@@ -174,6 +180,15 @@ def commit_impact(spark: SparkSession, sf: str) -> DataFrame:
     return met.groupBy("commit_hash", "affected").agg(F.bool_or(F.col("affected") % 4 == 1).alias("is_test"), F.count(F.lit(1)).alias("via"))
 
 
+@query("commit_impact_all", ORACLES["commit_impact"].replace(" WHERE commit_hash % 100 = 7", ""))
+def commit_impact_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Direct dependents of the files of every commit."""
+    modified, imports = tables(spark, sf, "modified", "imports")
+    changed = modified.select("commit_hash", "file_path").distinct()
+    met = changed.join(imports.withColumnsRenamed({"dst": "file_path", "src": "affected"}), "file_path")
+    return met.groupBy("commit_hash", "affected").agg(F.bool_or(F.col("affected") % 4 == 1).alias("is_test"), F.count(F.lit(1)).alias("via"))
+
+
 @query("import_resolution", "+c AS (SELECT src, 'm' || dst AS module, dst, unnest([0, 1]) AS pos FROM imports), k AS (SELECT *, CASE pos WHEN 0 THEN module || '.py' ELSE module || '/__init__.py' END AS path FROM c), f AS (SELECT CASE WHEN file_path % 3 = 0 THEN 'm' || file_path || '/__init__.py' ELSE 'm' || file_path || '.py' END AS path FROM files WHERE file_path % 5 <> 0), b AS (SELECT src, module, min_by(k.path, pos) AS target FROM k JOIN f ON f.path = k.path GROUP BY 1, 2) SELECT DISTINCT x.src, coalesce(b.target, x.module) AS dst, b.target IS NULL AS is_external FROM (SELECT DISTINCT src, module FROM c) x LEFT JOIN b ON b.src = x.src AND b.module = x.module", "imports", "files")
 def import_resolution(spark: SparkSession, sf: str) -> DataFrame:
     imports, files = tables(spark, sf, "imports", "files")

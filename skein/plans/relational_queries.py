@@ -195,6 +195,14 @@ def health_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rel.health(parts, "grp").join(rel.worst_health(parts, "grp").withColumnRenamed("health", "worst"), "grp")
 
 
+@query("health_rollup_all", ORACLES["health_rollup"].replace(" WHERE p_partkey % 9 = 0", ""))
+def health_rollup_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part."""
+    price = F.col("p_retailprice")
+    parts = tables(spark, sf, "part")[0].select(F.col("p_size").alias("grp"), F.when(price < 960, "unhealthy").when(price < 990, "degraded").otherwise("healthy").alias("status"))
+    return rel.health(parts, "grp").join(rel.worst_health(parts, "grp").withColumnRenamed("health", "worst"), "grp")
+
+
 # --- aggregates -----------------------------------------------------------------------------------------------------
 
 

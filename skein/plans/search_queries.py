@@ -189,6 +189,14 @@ def query_validation(spark: SparkSession, sf: str) -> DataFrame:
     return talk.select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", text.check_query(F.col("q")).alias("status"), text.clean_query(F.col("q")).alias("cleaned"))
 
 
+@query("query_validation_all", ORACLES["query_validation"].replace("left(text, 40)", "text").replace("left(text, 9)", "text").replace("left(replace(text, chr(10), chr(9)), 60)", "replace(text, chr(10), chr(9))").replace("left(text, 30)", "text"))
+def query_validation_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts."""
+    t, step = F.col("text"), F.col("conv_id") % 6
+    q = F.when(step == 1, " ").when(step == 2, F.concat(t, F.lit("; drop table x"))).when(step == 3, F.concat(F.lit("<script>"), t, F.lit("</script>"))).when(step == 4, F.translate(t, "\n", "\t")).otherwise(t)
+    return tables(spark, sf, "conversations")[0].select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", text.check_query(F.col("q")).alias("status"), text.clean_query(F.col("q")).alias("cleaned"))
+
+
 @query("redacted_urls", "WITH p AS (SELECT page_id, 'at ' || url || ' from 10.0.' || page_id % 255 || '.7 key ' || md5(url) AS m FROM pages) SELECT page_id, regexp_replace(regexp_replace(regexp_replace(m, '/[\\w/.-]+', '[PATH]', 'g'), '\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b', '[IP]', 'g'), '\\b[a-zA-Z0-9]{32,}\\b', '[REDACTED]', 'g') AS message FROM p")
 def redacted_urls(spark: SparkSession, sf: str) -> DataFrame:
     (pages,) = tables(spark, sf, "pages")
