@@ -57,6 +57,12 @@ def dependencies_trails(spark: SparkSession, sf: str) -> DataFrame:
     return graph.dependencies(*tables(spark, sf, "imports", "seeds"), "both", 4)
 
 
+@query("dependencies_trails_full", _both(5, "SELECT * FROM f"), "imports", "seeds")
+def dependencies_trails_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Five hops."""
+    return graph.dependencies(*tables(spark, sf, "imports", "seeds"), "both", 5)
+
+
 @query("dependency_star", _both(3, "SELECT seed AS root, CASE direction WHEN 'upstream' THEN node ELSE seed END AS \"from\", CASE direction WHEN 'upstream' THEN seed ELSE node END AS \"to\", length FROM f"), "imports", "seeds")
 def dependency_star(spark: SparkSession, sf: str) -> DataFrame:
     return graph.dependency_star(*tables(spark, sf, "imports", "seeds"), 3)
@@ -165,6 +171,14 @@ def risk_context(spark: SparkSession, sf: str) -> DataFrame:
     return graph.risk_context(wanted, files, imports, 3)
 
 
+@query("risk_context_full", ORACLES["risk_context"].replace("t.length < 3", "t.length < 5"))
+def risk_context_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Five hops."""
+    imports, seeds, files = tables(spark, sf, "imports", "seeds", "files")
+    wanted = seeds.select(F.col("seed").alias("file_path")).union(spark.range(1).select(F.lit(-1).cast("long")))
+    return graph.risk_context(wanted, files, imports)
+
+
 @query("test_map", _WALK.format(**_IMPORTS, **_DOWN, n=2) + " SELECT DISTINCT seed AS file_path, node AS test_file FROM reached WHERE distance > 0 AND node % 4 = 1", "imports", "seeds")
 def test_map(spark: SparkSession, sf: str) -> DataFrame:
     imports, seeds = tables(spark, sf, "imports", "seeds")

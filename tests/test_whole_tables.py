@@ -25,3 +25,18 @@ def test_every_part_and_whole_texts_count(spark, sf):
     assert values(QUERIES["health_rollup_all"](spark, sf).select("grp")) == values(part.select("p_size"))
     cleaned = QUERIES["query_validation_all"](spark, sf).where("conv_id % 6 = 5").select(F.length("cleaned"))
     assert max(values(cleaned)) > 30
+
+
+def test_risk_counts_five_hops(spark, sf):
+    imports, seeds = (df.collect() for df in tables(spark, sf, "imports", "seeds"))
+    back: dict = {}
+    for r in imports:
+        back.setdefault(r["dst"], set()).add(r["src"])
+    want = {-1: 0}
+    for (seed,) in seeds:
+        trails, found = [(seed, frozenset())], set()
+        for length in range(1, 6):
+            trails = [(src, used | {(src, node)}) for node, used in trails for src in back.get(node, ()) if (src, node) not in used]
+            found |= {(node, length) for node, _ in trails}
+        want[seed] = len(found)
+    assert {r["file_path"]: r["downstream_count"] for r in QUERIES["risk_context_full"](spark, sf).collect()} == want
