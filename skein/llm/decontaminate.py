@@ -63,7 +63,7 @@ class Tokens:
         data = _join_numbers(data, offsets) if joined else data
         self.data, self.low = data, tb.LOWER[data]
         self.starts, self.ends, self.first = tb.words(data, offsets, _WORD)
-        self.own = tb.span_hash(tb.prefix_sums(self.low), self.starts, self.ends)
+        self.own = tb.Spans(self.low).hash(self.starts, self.ends)
         self.hashes = self.own.copy()
         self.readings = [self.hashes, self.own, self.hashes]
         self.slot, self.numbers = np.zeros(len(self.starts), bool), False
@@ -94,7 +94,7 @@ class Tokens:
 def _unit_hashes() -> np.ndarray:
     data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
     starts, ends, _ = tb.words(data, np.array([0, len(data)]), _WORD)
-    return tb.span_hash(tb.prefix_sums(data), starts, ends)
+    return tb.Spans(data).hash(starts, ends)
 
 
 _UNIT_HASHES = _unit_hashes()

@@ -122,7 +122,7 @@ def compile_template(label: str, template: str) -> Automaton:
 def _hash_of(words: tuple[str, ...]) -> np.uint64:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     starts, ends, _ = tb.words(data, np.array([0, len(data)]), tb.PLAIN)
-    return tb.shingles(tb.span_hash(tb.prefix_sums(data), starts, ends), len(words))[0]
+    return tb.shingles(tb.Spans(data).hash(starts, ends), len(words))[0]
 
 
 SCHEMA = "doc_id {id}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -142,7 +142,7 @@ def _scan(phrases: dict[str, str], templates: tuple[tuple[str, str], ...]) -> Ca
 def _scan_run(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, phrases: dict[str, str], automata: list[Automaton]) -> pa.RecordBatch:
     low = tb.LOWER[data]
     starts, ends, first = tb.words(low, offsets, tb.PLAIN)
-    hashes = tb.span_hash(tb.prefix_sums(low), starts, ends)
+    hashes = tb.Spans(low).hash(starts, ends)
     text = low.tobytes()
 
     def said(at: int, n: int) -> list[str]:

@@ -50,7 +50,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     """The sorted distinct shingle hashes of each text of a run."""
     low = tb.LOWER[data]
     starts, ends, first = tb.words(low, offsets, tb.SPACED)
-    hashes = tb.span_hash(tb.prefix_sums(low), starts, ends)
+    hashes = tb.Spans(low).hash(starts, ends)
     whole = tb.shingles(hashes, size)
     sets = []
     for lo, hi in zip(first[:-1], first[1:], strict=True):

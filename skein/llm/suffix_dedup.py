@@ -4,18 +4,20 @@ Which strings can be equal is found first, without loss. Every window of LENGTH
 ``GRAM``-byte grams as its anchor (the leftmost of equal ones), so equal windows name equal anchors. Neighbouring windows with
 one anchor form a region. Then
 
-1. equal regions form a class: all but the first occurrence is repeated as a whole, known from two 64-bit hashes;
+1. regions of equal bytes, told by 128-bit BLAKE2 digests, form a class: all but the first occurrence is repeated as a whole;
 2. classes of one anchor that differ may still share windows. Their first occurrences go, as bytes, to the anchor's
    shard, whose suffix array shows equal windows: neighbours in it with a common prefix of LENGTH bytes or more.
 
 The array is built by induced sorting: suffixes are classified as larger or smaller than the next; the leftmost-smaller
-substrings are sorted by induction and named; if names repeat, the string of names is sorted by the same method, or by
-doubling ranks once it has more than ``NAMES`` names, since induction goes through the names one by one; the order of the
-leftmost-smaller suffixes then induces all others in linear time. Buckets are worked off as whole arrays. Common prefixes are
-computed in text order (permuted), by comparing each suffix with its predecessor in the array, eight bytes at a time.
+substrings are sorted by induction and named; if names repeat, the string of names is sorted by the same method; the order of the
+leftmost-smaller suffixes then induces all others in linear time. Buckets are worked off as whole arrays where they are few,
+suffix by suffix where there are many. Common prefixes are computed in text order (permuted), by comparing each suffix with its
+predecessor in the array, eight bytes at a time.
 
-Equal regions of a map task's run collapse before the shuffle, a partition's sorted rows stream through its task, and an
-anchor with more than ``HOT`` classes sends windows under their own hashes instead of regions, so no group has to fit in memory.
+Equal regions of a map task's run collapse before the shuffle and a partition's sorted rows stream through its task. An anchor with
+more than ``HOT`` classes would be a shard without bound, so its regions are divided again by the anchors of other hashes, and again
+if need be, ``LEVELS`` times; equal windows agree on all of them. What then still stands under one busy key, windows that differ in a
+few bytes, is no longer sorted: its windows meet under their own digests. So no group has to fit in memory.
 
 Defined results: a null or empty text has no bytes; rows with a null id keep all their bytes and are no source; rows of one
 id are one document, and if their texts differ, a place repeated in one counts for each; bytes are cut where they are,
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,34 +39,47 @@ from skein.llm import textbytes as tb
 from skein.llm.storage import Scratch
 
 LENGTH, GRAM = 100, 20
-HOT, SHARD_BYTES, NAMES = 20_000, 2 << 20, 256
+HOT, LEVELS, SHARD_BYTES = 20_000, 3, 2 << 20
+#: Parts of a key's rows where they meet what is known of the key.
+SALTS = 16
 _PLACE = np.uint64((1 << 21) - 1)
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
 
 
-def _rank_doubling(s: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names by ranks of doubling prefixes."""
-    n, rank, k = len(s), s.astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        k *= 2
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
-
-
 def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, names: int) -> np.ndarray:
     """All suffixes in order, from leftmost-smaller ones in the order of seeds within each first symbol.
 
     The first pass goes up through the symbols and places larger suffixes, the second goes down and places smaller ones.
-    What a bucket's suffixes induce into the bucket itself is taken in rounds, one for each repeat of its symbol.
     """
+    return (_induce_buckets if names * 64 <= len(s) else _induce_suffixes)(s, smaller, seeds, names)
+
+
+def _induce_suffixes(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, names: int) -> np.ndarray:
+    """Induction one suffix at a time, for many small buckets; places of the array that are still free hold -1."""
+    n = len(s)
+    ends = np.cumsum(np.bincount(s, minlength=names))
+    by = np.argsort(s[seeds], kind="stable")
+    seeds = seeds[by]
+    last = np.searchsorted(s[seeds], np.arange(names), "right")
+    array = np.full(n, -1, np.int64)
+    array[np.arange(len(seeds)) - last[s[seeds]] + ends[s[seeds]]] = seeds
+    symbol = s[:-1].astype(np.int64)
+    order = array.tolist()
+    for want, at, step in ((False, np.append(0, ends[:-1]), 1), (True, ends - 1, -1)):
+        # the symbol before each suffix if the suffix there is of the wanted kind; the last entry serves free places
+        before = [-1, *np.where(smaller[:-1] == want, symbol, -1).tolist(), -1]
+        free = at.tolist()
+        for j in order if step == 1 else reversed(order):
+            c = before[j]
+            if c >= 0:
+                order[free[c]] = j - 1
+                free[c] += step
+    return np.array(order)
+
+
+def _induce_buckets(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, names: int) -> np.ndarray:
+    """Induction a bucket at a time; what its suffixes induce into itself is taken in rounds, one for each repeat of its symbol."""
     by = np.argsort(s[seeds], kind="stable")
     cuts = np.searchsorted(s[seeds][by], np.arange(names + 1))
     seeds = seeds[by]
@@ -140,8 +156,7 @@ def suffix_array(s: np.ndarray, names: int) -> np.ndarray:
     name[order] = np.concatenate([[0], np.cumsum(differ)])
     reduced, distinct = name[leftmost], int(differ.sum()) + 1
     if distinct < len(leftmost):
-        inner = suffix_array(reduced, distinct) if distinct <= NAMES else _rank_doubling(reduced)
-        order = leftmost[inner]
+        order = leftmost[suffix_array(reduced, distinct)]
     return _induce(s, smaller, order.astype(np.int32), names)
 
 
@@ -202,9 +217,28 @@ def joined_spans(document: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tu
 # --- anchors and regions -------------------------------------------------------------------------------------------
 
 #: n > 0: a region of n windows from ``at``; n < 0: a span of -n bytes known to be repeated, under a key of its own.
-REGIONS = "key long, class long, doc_id long, at long, n int"
+REGIONS = "key long, class long, class2 long, doc_id long, at long, n int"
 #: kind 0: the bytes from ``at``, n of them, are repeated; kind 1: a region of n windows to compare under its key.
 EVENTS = "kind int, key long, doc_id long, at long, n int"
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x632BE59BD9B4E019)
+
+
+def _gram_hashes(data: np.ndarray, gram: int, level: int) -> np.ndarray:
+    """Hashes of all grams (of eight bytes or more). They only say where windows meet; equal ones need not be equal grams."""
+    n, eight = len(data) - gram + 1, tb.Spans(data).eight
+    out = np.full(n, level + 1, np.uint64)
+    for i, at in enumerate([*range(0, gram - 8, 8), gram - 8]):
+        out *= np.uint64(_ODD[i % 4])
+        out += tb.mix(eight[at : at + n], level) if level else eight[at : at + n]
+        out ^= out >> np.uint64(29)
+    return tb.mix(out, level)
+
+
+def _digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of spans, as two columns of numbers."""
+    view = memoryview(np.ascontiguousarray(data))
+    joined = b"".join([blake2b(view[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(joined, "<i8").reshape(-1, 2)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -218,14 +252,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def regions_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, class hash, text number, begin in data, windows) of all regions of a run of texts."""
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+def regions_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, level: int = 0) -> tuple[np.ndarray, ...]:
+    """(anchor hash, text number, begin in data, windows) of all regions of a run of texts."""
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     if len(data) < length:
         return none
-    sums = tb.prefix_sums(data)
-    at = np.arange(len(data) - gram + 1)
-    hashes = tb.span_hash(sums, at, at + gram)
+    hashes = _gram_hashes(data, gram, level)
+    at = np.arange(len(hashes))
     anchor = (_least((hashes & ~_PLACE) | at.astype(np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     starts = np.flatnonzero(offsets[text + 1] - at[: len(anchor)] >= length)
@@ -233,31 +266,42 @@ def regions_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
         return none
     anchor, text = anchor[starts], text[starts]
     cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-    begin, windows = starts[cut], np.diff(np.append(cut, len(starts)))
-    anchor, text = anchor[cut], text[cut]
-    shape = ((anchor - begin) << 32 | windows).astype(np.uint64)
-    kind = tb.mix(tb.span_hash(sums, begin, begin + windows - 1 + length) + tb.mix(shape, 5))
-    return tb.mix(hashes[anchor], 3), kind, text, begin, windows
-
-
-def _first_of_each(key: np.ndarray, kind: np.ndarray, document: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the first of each (key, kind), and of those that repeat it elsewhere."""
-    order = np.lexsort((at, document, kind, key))
-    key, kind, d, a = key[order], kind[order], document[order], at[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])]) if len(order) else np.zeros(0, bool)
+    return tb.mix(hashes[anchor[cut]], 3), text[cut], starts[cut], np.diff(np.append(cut, len(starts)))
+
+
+def _first_of_each(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the first of each (key, class, class2) by the other columns (document, at), and of those that repeat it elsewhere."""
+    order = np.lexsort(columns[::-1])
+    sorted_ = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in sorted_[:3]:
+        new[1:] |= c[1:] != c[:-1]
     head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
-    return order[new], order[(d != d[head]) | (a != a[head])]
+    return order[new], order[np.any([c != c[head] for c in sorted_[3:]], axis=0)]
+
+
+def _region_rows(data: np.ndarray, key: np.ndarray, begin: np.ndarray, windows: np.ndarray, document: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
+    """REGIONS rows: the first of each class, and the joined spans of the others."""
+    digest = _digests(data, begin, begin + windows - 1 + length)
+    first, again = _first_of_each(key, digest[:, 0], digest[:, 1], document, at)
+    d, b, e = joined_spans(document[again], at[again], at[again] + windows[again] - 1 + length)
+    own = tb.mix(tb.mix(d.astype(np.uint64), 7) + b.astype(np.uint64))
+    zero = np.zeros(len(d), np.int64)
+    columns = (
+        np.concatenate([key[first], own]).view(np.int64),
+        *(np.concatenate([digest[first, k], zero]) for k in (0, 1)),
+        np.concatenate([document[first], d]),
+        np.concatenate([at[first], b]),
+        np.concatenate([windows[first], b - e]).astype(np.int32),
+    )
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["key", "class", "class2", "doc_id", "at", "n"])
 
 
 def _anchors(length: int, gram: int) -> Callable:
     def rows(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, base: int) -> pa.RecordBatch:
-        key, kind, text, begin, windows = regions_of(data, offsets, length, gram)
-        document, at = ids[text], begin - offsets[text] + base
-        first, again = _first_of_each(key, kind, document, at)
-        d, b, e = joined_spans(document[again], at[again], at[again] + windows[again] - 1 + length)
-        own = tb.mix(tb.mix(d.astype(np.uint64), 7) + b.astype(np.uint64))
-        columns = np.concatenate([key[first], own]).view(np.int64), np.concatenate([kind[first], own]).view(np.int64), np.concatenate([document[first], d]), np.concatenate([at[first], b]), np.concatenate([windows[first], b - e]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["key", "class", "doc_id", "at", "n"])
+        key, text, begin, windows = regions_of(data, offsets, length, gram)
+        return _region_rows(data, key, begin, windows, ids[text], begin - offsets[text] + base, length)
 
     def run(batches):
         for batch in batches:
@@ -272,6 +316,28 @@ def _anchors(length: int, gram: int) -> Callable:
     return run
 
 
+def _divided(length: int, gram: int, level: int) -> Callable:
+    """Regions of busy keys, divided by the anchors of another hash: REGIONS rows under the pair of keys."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = tb.batch_of(batch.column("text"))
+            for i, (document, regions) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("regions"), strict=True)):
+                flat, own = regions.values, data[offsets[i] : offsets[i + 1]]
+                key, at, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("key", "at", "n"))
+                fits = at + n - 1 + length <= len(own)
+                key, at, n = key[fits], at[fits], n[fits].astype(np.int64)
+                sizes = n - 1 + length
+                for lo, hi in tb.runs(np.concatenate([[0], np.cumsum(sizes)])):
+                    bounds = np.concatenate([[0], np.cumsum(sizes[lo:hi])])
+                    piece = own[np.repeat(at[lo:hi] - bounds[:-1], sizes[lo:hi]) + np.arange(bounds[-1])]
+                    anchor, region, begin, windows = regions_of(piece, bounds, length, gram, level)
+                    pair = tb.mix(anchor ^ tb.mix(key[lo:hi].view(np.uint64)[region], level))
+                    yield _region_rows(piece, pair, begin, windows, np.full(len(begin), document, np.int64), begin - bounds[region] + at[lo:hi][region], length)
+
+    return run
+
+
 class _Classes:
     """Walks rows sorted by key, class, document and place, batch after batch; keeps only the last group's head."""
 
@@ -279,10 +345,10 @@ class _Classes:
         self.key = self.kind = self.head = self.waiting = None
         self.heads = 0
 
-    def take(self, key: np.ndarray, kind: np.ndarray, document: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    def take(self, key: np.ndarray, kind: tuple[np.ndarray, np.ndarray], document: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
         """Rows that repeat their class's head elsewhere, and heads whose key has several classes."""
         new_key = np.concatenate([[key[0] != self.key], key[1:] != key[:-1]])
-        new = new_key | np.concatenate([[kind[0] != self.kind], kind[1:] != kind[:-1]])
+        new = new_key | np.concatenate([[self.kind != (kind[0][0], kind[1][0])], (kind[0][1:] != kind[0][:-1]) | (kind[1][1:] != kind[1][:-1])])
         heads = np.flatnonzero(new)
         of = np.cumsum(new) - 1
         head_doc, head_at = (np.append(x[heads], self.head[i] if self.head else 0) for i, x in enumerate((document, at)))  # -1: the head of the batch before
@@ -301,7 +367,7 @@ class _Classes:
             self.waiting = tuple(x[heads[-1:]] for x in (key, document, at, n))
         if len(heads):
             self.head = document[heads[-1]], at[heads[-1]]
-        self.key, self.kind = key[-1], kind[-1]
+        self.key, self.kind = key[-1], (kind[0][-1], kind[1][-1])
         return again, out
 
 
@@ -320,13 +386,13 @@ def _resolve(length: int) -> Callable:
     def run(batches):
         classes = _Classes()
         for batch in batches:
-            key, kind, document, at, n = _numbers(batch, "key", "class", "doc_id", "at", "n")
+            key, a, b, document, at, n = _numbers(batch, "key", "class", "class2", "doc_id", "at", "n")
             known = n < 0
             if known.any():
                 yield event(0, key[known], document[known], at[known], -n[known])
-                key, kind, document, at, n = (x[~known] for x in (key, kind, document, at, n))
+                key, a, b, document, at, n = (x[~known] for x in (key, a, b, document, at, n))
             if len(key):
-                again, heads = classes.take(key, kind, document, at, n)
+                again, heads = classes.take(key, (a, b), document, at, n)
                 d, b, e = joined_spans(document[again], at[again], at[again] + n[again] - 1 + length)
                 yield event(0, np.zeros(len(d), np.int64), d, b, e - b)
                 for h in heads:
@@ -335,14 +401,14 @@ def _resolve(length: int) -> Callable:
     return run
 
 
-SHARD_ROWS = "hot boolean, key long, class long, doc_id long, at long, n int, region binary"
+SHARD_ROWS = "hot boolean, key long, class long, class2 long, doc_id long, at long, n int, region binary"
 
 
 def _cut(length: int) -> Callable:
-    """Bytes of regions; of hot anchors windows under their own hashes."""
+    """Bytes of regions; of keys that stay busy, windows under their own digests."""
 
     def run(batches):
-        names = ["hot", "key", "class", "doc_id", "at", "n", "region"]
+        names = ["hot", "key", "class", "class2", "doc_id", "at", "n", "region"]
         for batch in batches:
             data, offsets = tb.batch_of(batch.column("text"))
             lists = batch.column("regions")
@@ -354,12 +420,12 @@ def _cut(length: int) -> Callable:
             for rows in np.array_split(np.flatnonzero(fits & ~hot.astype(bool)), max(1, len(key) // 20_000)):
                 if len(rows):
                     cut = pa.array([data[b : b + m].tobytes() for b, m in zip(begin[rows], n[rows] - 1 + length, strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), bool)), *(pa.array(x) for x in (key[rows], np.zeros(len(rows), np.int64), document[rows], at[rows], n[rows])), cut], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), bool)), *(pa.array(x) for x in (key[rows], *np.zeros((2, len(rows)), np.int64), document[rows], at[rows], n[rows])), cut], names)
             for i in np.flatnonzero(fits & hot.astype(bool)):
-                own = data[begin[i] : begin[i] + n[i] - 1 + length]
-                sums, spot = tb.prefix_sums(own), np.arange(n[i])
-                hashes = [tb.span_hash(sums, spot, spot + length, seed).view(np.int64) for seed in (21, 22)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n[i], bool)), *map(pa.array, hashes), pa.array(np.full(n[i], document[i])), pa.array(at[i] + spot), pa.array(np.ones(n[i], np.int32)), pa.nulls(n[i], pa.binary())], names)
+                spot = np.arange(n[i])
+                pair = _digests(data, begin[i] + spot, begin[i] + spot + length)
+                columns = pair[:, 0], pair[:, 0], pair[:, 1], np.full(n[i], document[i]), at[i] + spot, np.ones(n[i], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n[i], bool)), *map(pa.array, columns), pa.nulls(n[i], pa.binary())], names)
 
     return run
 
@@ -375,8 +441,8 @@ def _shards(length: int, shard_bytes: int) -> Callable:
         for batch in batches:
             hot = batch.column("hot").to_numpy(zero_copy_only=False).astype(bool)
             if hot.any():
-                key, kind, document, at, n = (x[hot] for x in _numbers(batch, "key", "class", "doc_id", "at", "n"))
-                again, _ = classes.take(key, kind, document, at, n)
+                key, a, b, document, at, n = (x[hot] for x in _numbers(batch, "key", "class", "class2", "doc_id", "at", "n"))
+                again, _ = classes.take(key, (a, b), document, at, n)
                 yield _spans_batch(*joined_spans(document[again], at[again], at[again] + length))
             batch = batch.filter(pa.array(~hot))
             if not batch.num_rows:
@@ -432,16 +498,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    anchors = rows.where("doc_id IS NOT NULL").mapInArrow(_anchors(length, gram), REGIONS)
-    events = scratch.keep(anchors.repartition("key").sortWithinPartitions("key", "class", "doc_id", "at").mapInArrow(_resolve(length), EVENTS), "events")
-    open_regions = events.where("kind = 1").select("key", "doc_id", "at", "n")
-    busy = open_regions.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > hot).select("key", F.lit(True).alias("hot"))
-    by_doc = open_regions.join(busy, "key", "left").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("regions"))
     named = rows.where("doc_id IS NOT NULL")
     dealt = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    shard_rows = dealt.join(by_doc, "doc_id").select("doc_id", "text", "regions").mapInArrow(_cut(length), SHARD_ROWS)
-    compared = shard_rows.repartition("key").sortWithinPartitions("hot", "key", "class", "doc_id", "at").mapInArrow(_shards(length, shard_bytes), "doc_id long, at long, n int")
-    spans = events.where("kind = 0").select("doc_id", "at", "n").union(compared)
+
+    def resolved(regions: DataFrame) -> DataFrame:
+        met = regions.repartition("key").sortWithinPartitions("key", "class", "class2", "doc_id", "at")
+        return scratch.keep(met.mapInArrow(_resolve(length), EVENTS), "events")
+
+    def busy_marked(events: DataFrame) -> DataFrame:
+        """Regions to compare, and whether their key has more than ``hot`` of them."""
+        regions = events.where("kind = 1").select("key", "doc_id", "at", "n", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).alias("salt"))
+        busy = regions.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > hot)
+        busy = busy.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("hot"))
+        return regions.join(busy, ["key", "salt"], "left").select("key", "doc_id", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
+
+    def with_texts(regions: DataFrame) -> DataFrame:
+        by_doc = regions.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n", "hot")).alias("regions"))
+        return dealt.join(by_doc, "doc_id").select("doc_id", "text", "regions")
+
+    events = resolved(named.mapInArrow(_anchors(length, gram), REGIONS))
+    repeated, regions = events.where("kind = 0").select("doc_id", "at", "n"), busy_marked(events)
+    for level in range(1, LEVELS + 1):
+        busy = regions.where("hot")
+        if busy.isEmpty():
+            break
+        events = resolved(with_texts(busy).mapInArrow(_divided(length, gram, level), REGIONS))
+        repeated = repeated.union(events.where("kind = 0").select("doc_id", "at", "n"))
+        regions = regions.where("NOT hot").union(busy_marked(events))
+    compared = with_texts(regions).mapInArrow(_cut(length), SHARD_ROWS)
+    compared = compared.repartition("key").sortWithinPartitions("hot", "key", "class", "class2", "doc_id", "at").mapInArrow(_shards(length, shard_bytes), "doc_id long, at long, n int")
+    spans = repeated.union(compared)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     cleaned = dealt.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     unnamed = rows.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast(cleaned.schema["spans"].dataType))

@@ -7,12 +7,13 @@ Every word class used here puts all bytes from 0x80 up inside words, so classes
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: About how many bytes are worked on at once; working arrays take some 80 bytes for each.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -29,24 +30,12 @@ SPACED = word_class(b" \t\n\v\f\r")
 #: Words are digits, lower-case letters and everything beyond ASCII.
 PLAIN = word_class(bytes(b for b in range(128) if not (48 <= b < 58 or 97 <= b < 123)))
 
-_BASE = 0x9E3779B97F4A7C15
-_powers = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i < n, grown on demand."""
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        size = max(n, RUN_BYTES + 1)
-        table = np.full(size, base, dtype=np.uint64)
-        table[0] = 1
-        _powers[base] = table = np.cumprod(table, dtype=np.uint64)
-    return table[:n]
+_SEED = 0x9E3779B97F4A7C15
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection on 64-bit numbers in which every input bit reaches every output bit."""
-    h = h + np.uint64((seed * _BASE + 0x632BE59BD9B4E019) % 2**64)
+    h = h + np.uint64((seed * _SEED + 0x632BE59BD9B4E019) % 2**64)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
@@ -97,16 +86,61 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """sums[j] - sums[i], times the inverse power of i, is a 64-bit hash of the bytes from i to j."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(data)), out=sums[1:])
-    return sums
-
-
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    inverse = _power_table(pow(_BASE, -1, 2**64), len(sums))
-    return mix((sums[ends] - sums[starts]) * inverse[starts], seed)
+#: Spans of more bytes are hashed one by one.
+LONG = 128
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class Spans:
+    """Hashes and comparisons of spans of a byte array, eight bytes at a time."""
+
+    def __init__(self, data: np.ndarray):
+        self.padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eight = np.ndarray((len(data) + 1,), "<u8", self.padded, 0, (1,))
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        """64-bit hashes: each eight bytes are mixed into all bits, so spans of up to eight bytes never collide with spans
+        of their length, and no two texts collide whatever the position, unlike with sums of powers."""
+        size = ends - starts
+        out = mix(size.astype(np.uint64), seed)
+        some, k = np.flatnonzero(size > 0), 0
+        long = some[size[some] > LONG]
+        some = some[size[some] <= LONG] if len(long) else some
+        while len(some):
+            out[some] = mix(out[some] ^ (self.eight[starts[some] + k] & _MASKS[np.minimum(size[some] - k, 8)]))
+            k += 8
+            some = some[size[some] > k]
+        if len(long):
+            view = memoryview(self.padded)
+            key = seed.to_bytes(8, "little")
+            out[long] = [int.from_bytes(blake2b(view[s:e], digest_size=8, key=key).digest(), "little") for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        return out
+
+    def equal(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, other: Spans | None = None) -> np.ndarray:
+        """Whether the bytes from a and those from b, of another array if one is given, are equal; sizes are those of both."""
+        other = other or self
+        out, some, k = np.ones(len(a), bool), np.flatnonzero(sizes > 0), 0
+        while len(some):
+            if k > LONG:  # long spans, one by one
+                for i in some.tolist():
+                    x, y, n = int(a[i]), int(b[i]), int(sizes[i])
+                    out[i] = np.array_equal(self.padded[x : x + n], other.padded[y : y + n])
+                break
+            differ = ((self.eight[a[some] + k] ^ other.eight[b[some] + k]) & _MASKS[np.minimum(sizes[some] - k, 8)]) != 0
+            out[some[differ]] = False
+            k += 8
+            some = some[~differ & (sizes[some] > k)]
+        return out
+
+    def same_bytes(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether spans of equal hashes are spans of equal bytes."""
+        order = np.argsort(hashes, kind="stable")
+        twin = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+        a, b = order[twin], order[twin + 1]
+        if not len(twin):
+            return True
+        size = ends - starts
+        return bool((size[a] == size[b]).all() and self.equal(starts[a], starts[b], size[a]).all())
 
 
 def shingles(word_hash: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

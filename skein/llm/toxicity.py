@@ -36,12 +36,12 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """Text numbers and feature numbers, one pair for each word and beginning."""
     low = tb.LOWER[data]
     starts, ends, first = tb.words(low, offsets, LETTERS)
-    sums, doc = tb.prefix_sums(low), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    spans, doc = tb.Spans(low), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     docs, features = [], []
     for n in BEGINNINGS:
         some = slice(None) if n == 0 else np.flatnonzero(ends - starts > n)
         s = starts[some]
-        features.append((tb.span_hash(sums, s, s + n if n else ends, seed=n) >> np.uint64(64 - _BITS)).astype(np.int64))
+        features.append((spans.hash(s, s + n if n else ends, seed=n) >> np.uint64(64 - _BITS)).astype(np.int64))
         docs.append(doc[some])
     return np.concatenate(docs), np.concatenate(features)
 

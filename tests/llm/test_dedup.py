@@ -115,6 +115,8 @@ def test_suffix_dedup_equals_plain_program(spark, options):
     rows = [(rng.randint(0, 10**6), "".join(rng.choice(piece) if rng.random() < 0.7 else "".join(rng.choice("xyz ") for _ in range(50)) for _ in range(rng.randint(0, 12)))) for _ in range(80)]
     rows = list({d: (d, t) for d, t in rows}.values())
     rows += [(-5, "q" * 400), (-4, "ab" * 300), (-3, "short"), (-2, "")]
+    common = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows += [(10**7 + i, f"{common}{i % 37:02d}" + "".join(rng.choice("xyz") for _ in range(i % 4)) + common) for i in range(60)]
     got = {r[0]: tuple(r[1:5]) for r in suffix_dedup.remove_repeats(frame(spark, rows), **options).collect()}
     assert got == plain_repeats([(d, t.encode()) for d, t in rows], 100)
 

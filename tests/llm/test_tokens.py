@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from skein.llm import textbytes as tb
 from skein.llm import token_count, token_store
 
 ODD = ["", "a", " a", "a ", "a  b", "it's 'll", "a\n b", "\n\n x.", "x᠎ y", "　 a", "a\tb", "1 2,3.4", "a.,b", "<|endoftext|> x<|endoftext|>", "é,ñ.\nÀ", "_,.x", "a\x00b c"]
@@ -23,18 +24,68 @@ def encoder():
     return token_store.Encoder(token_store.default_tokenizer())
 
 
+@pytest.fixture(scope="module")
+def library():
+    """The library's tokenizer as it comes from the file."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_store.default_tokenizer())
+    return lambda texts: [[*e.ids, 0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=ALPHABET, max_size=30), min_size=1, max_size=10))
-def test_chunks_encode_as_the_whole(encoder, texts):
-    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [[*e.ids, 0] for e in whole]
+def test_chunks_encode_as_the_whole(encoder, library, texts):
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == library(texts)
+
+
+def test_odd_texts_encode_as_the_whole(encoder, library):
+    assert [x.tolist() for x in encoder.encode(pa.array(ODD))] == library(ODD)
+    assert encoder.encode(pa.array(["a\n\nb"]))[0].tolist() == [64, 198, 198, 65, 0]
+    assert 50256 in encoder.encode(pa.array(["x<|endoftext|>"]))[0].tolist()
+
+
+def test_random_texts_encode_as_the_whole(encoder, library):
+    rng = random.Random(9)
+    pieces = [*"abcxyzABZ019 .,;:!?'\"-_\n\t\r", " ", " ", "\n\n", "\r\n", "  ", " \n", "'s", "'re", "\u00e9", "\u4e2d\u6587", "\u3000", "\u00a0", "\u2028", "word", " word", "<|endoftext|>", "<|endof", "\x00", "\x1c", "\U0001f600", "\u0301"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(20_000)]
+    got = encoder.encode(pa.array(texts))
+    assert [t for t, x, y in zip(texts, got, library(texts), strict=True) if x.tolist() != y] == []
+
 
+def test_long_and_look_alike_words(encoder, library):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "x" * 3000 + " y", "\u4e2d" * 2000, "a " * 50_000, " ".join(f"w{i}" for i in range(30_000))]
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == library(texts)
 
-def test_cache_generations(encoder, monkeypatch):
+
+def test_shared_hashes_are_noticed(encoder, library, monkeypatch):
+    """With hashes of four values all chunks collide; the ids are those of the whole texts all the same."""
+    monkeypatch.setattr(tb.Spans, "hash", lambda self, a, b, seed=0: ((b - a) % 4).astype(np.uint64))
+    texts = ["some words, other words", "more of them.\nAnd more", "and"]
+    fresh = token_store.Encoder(token_store.default_tokenizer())
+    for _ in range(2):
+        assert [x.tolist() for x in fresh.encode(pa.array(texts))] == library(texts)
+        assert fresh.encode(pa.array(["and"]))[0].tolist() == library(["and"])[0]
+        assert fresh.encode(pa.array(["but"]))[0].tolist() == library(["but"])[0]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, exact = token_store.Encoder(path), Tokenizer.from_file(path)
+    assert not other.cuts
+    for text in ODD:
+        assert other.encode(pa.array([text]))[0].tolist() == [*exact.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_cache_generations(encoder, library, monkeypatch):
     monkeypatch.setattr(token_store, "CACHED", 20)
     for k in range(6):
         texts = [f"word{i} and more, of {i * k}." for i in range(9)]
-        assert [x.tolist()[:-1] for x in encoder.encode(pa.array(texts))] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == library(texts)
 
 
 def test_shard_lookup(tmp_path):
@@ -61,17 +112,32 @@ def test_shard_lookup(tmp_path):
         writer2.add(5, rows[0][1]), writer2.add(4, rows[0][1])
 
 
-def test_store_round_trip(spark, sf, encoder):
+def test_store_round_trip(spark, sf, library):
     got = {r["doc_id"]: tuple(r)[1:] for r in token_store.op2_token_shards(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     start, want = 0, {}
     for d, text in docs:
-        ids = [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        ids = library([text])[0]
         want[d] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert got == want
 
 
+def test_lookup_across_shards(spark, tmp_path, library):
+    rows = [(i * 7 - 300, f"text {i} of\n\nmany") for i in range(200)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = token_store.store_tokens(docs, token_store.default_tokenizer(), folder=f"file://{tmp_path}/out")
+    assert out.count() == spark.read.parquet(f"file://{tmp_path}/out/manifest").first()["n_docs"] == 201
+    token_store.write_shards(docs, f"file://{tmp_path}/four", token_store.default_tokenizer(), shards=4).write.parquet(f"{tmp_path}/manifest")
+    manifest = spark.read.parquet(f"{tmp_path}/manifest")
+    assert manifest.count() == 4
+    shards = token_store.Shards(manifest)
+    for i, text in rows[::9] + rows[-1:]:
+        assert shards.get(i).tolist() == library([text])[0]
+    assert shards.get(5) is None and shards.get(10**9) is None
+    shards.close()
+
+
 def test_store_odd_rows(spark):
     rows = [(None, "x"), (5, None), (5, "y y"), (-3, ""), (2**40, "z")]
     docs = spark.createDataFrame([(i, t, "p") for i, t in rows], "doc_id long, text string, path string")
