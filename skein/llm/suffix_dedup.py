@@ -27,6 +27,7 @@ even inside a character.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable
 from hashlib import blake2b
 
@@ -62,19 +63,19 @@ def _induce_suffixes(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, name
     by = np.argsort(s[seeds], kind="stable")
     seeds = seeds[by]
     last = np.searchsorted(s[seeds], np.arange(names), "right")
-    array = np.full(n, -1, np.int64)
-    array[np.arange(len(seeds)) - last[s[seeds]] + ends[s[seeds]]] = seeds
-    symbol = s[:-1].astype(np.int64)
-    order = array.tolist()
+    begun = np.full(n, -1, np.int32)
+    begun[np.arange(len(seeds)) - last[s[seeds]] + ends[s[seeds]]] = seeds
+    symbol, order = s[:-1].astype(np.int32), array("i", begun.tobytes())
     for want, at, step in ((False, np.append(0, ends[:-1]), 1), (True, ends - 1, -1)):
         # the symbol before each suffix if the suffix there is of the wanted kind; the last entry serves free places
-        before = [-1, *np.where(smaller[:-1] == want, symbol, -1).tolist(), -1]
+        before = array("i", np.concatenate([[-1], np.where(smaller[:-1] == want, symbol, -1), [-1]]).astype(np.int32).tobytes())
         free = at.tolist()
         for j in order if step == 1 else reversed(order):
             c = before[j]
             if c >= 0:
-                order[free[c]] = j - 1
-                free[c] += step
+                place = free[c]
+                order[place] = j - 1
+                free[c] = place + step
     return np.array(order)
 
 
@@ -160,12 +161,12 @@ def suffix_array(s: np.ndarray, names: int) -> np.ndarray:
     return _induce(s, smaller, order.astype(np.int32), names)
 
 
-def permuted_prefixes(data: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
+def permuted_prefixes(data: np.ndarray, suffixes: np.ndarray, most: int) -> np.ndarray:
     """For each place of data, its common prefix with the suffix before it in the array, in whole steps up to most."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(most + 8, np.uint8)])
     before = np.full(n, -1, np.int64)
-    before[array[1:]] = array[:-1]
+    before[suffixes[1:]] = suffixes[:-1]
     prefix = np.zeros(n, np.int32)
     here = np.flatnonzero(before >= 0)
     for at in range(0, most, 8):
@@ -183,10 +184,10 @@ def repeated_windows(regions: list[bytes], documents: np.ndarray, begins: np.nda
     data = np.frombuffer(b"\xff".join(regions), np.uint8)  # no byte of UTF-8
     s = np.zeros(len(data) + 1, np.int16)
     s[:-1] = data.astype(np.int16) + 1
-    array = suffix_array(s, 257)[1:]
-    prefix = permuted_prefixes(data, array, length)
+    suffixes = suffix_array(s, 257)[1:]
+    prefix = permuted_prefixes(data, suffixes, length)
     block = np.empty(len(data), np.int64)
-    block[array] = np.cumsum(prefix[array] < length)
+    block[suffixes] = np.cumsum(prefix[suffixes] < length)
     windows = sizes - length + 1
     first = np.cumsum(sizes + 1) - sizes - 1
     inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
