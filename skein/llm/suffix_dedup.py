@@ -15,9 +15,9 @@ suffix by suffix where there are many. Common prefixes are computed in text orde
 predecessor in the array, eight bytes at a time.
 
 Equal regions of a map task's run collapse before the shuffle and a partition's sorted rows stream through its task. An anchor with
-more than ``HOT`` classes would be a shard without bound, so its regions are divided again by the anchors of other hashes, and again
-if need be, ``LEVELS`` times; equal windows agree on all of them. What then still stands under one busy key, windows that differ in a
-few bytes, is no longer sorted: its windows meet under their own digests. So no group has to fit in memory.
+more than ``HOT`` classes would be a shard without bound, so its regions are divided again by the anchors of two further hashes, on
+which equal windows agree as well. What then still stands under one busy key, windows that differ in a few bytes, is no longer
+sorted: its windows meet under their own digests. So no group has to fit in memory.
 
 Defined results: a null or empty text has no bytes; rows with a null id keep all their bytes and are no source; rows of one
 id are one document, and if their texts differ, a place repeated in one counts for each; bytes are cut where they are,
@@ -40,7 +40,9 @@ from skein.llm import textbytes as tb
 from skein.llm.storage import Scratch
 
 LENGTH, GRAM = 100, 20
-HOT, LEVELS, SHARD_BYTES = 20_000, 3, 2 << 20
+HOT, SHARD_BYTES = 20_000, 2 << 20
+#: The further hashes that divide the regions of a busy anchor.
+DIVIDERS = (1, 2)
 #: Parts of a key's rows where they meet what is known of the key.
 SALTS = 16
 _PLACE = np.uint64((1 << 21) - 1)
@@ -253,21 +255,30 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def regions_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, level: int = 0) -> tuple[np.ndarray, ...]:
-    """(anchor hash, text number, begin in data, windows) of all regions of a run of texts."""
+def regions_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, levels: tuple[int, ...] = (0,)) -> tuple[np.ndarray, ...]:
+    """(anchor hash, text number, begin in data, windows) of all regions of a run of texts; with several hashes windows of a region agree on all anchors."""
     none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     if len(data) < length:
         return none
-    hashes = _gram_hashes(data, gram, level)
-    at = np.arange(len(hashes))
-    anchor = (_least((hashes & ~_PLACE) | at.astype(np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
-    starts = np.flatnonzero(offsets[text + 1] - at[: len(anchor)] >= length)
+    at = np.arange(len(data) - gram + 1)
+    n = len(data) - length + 1
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
+    starts = np.flatnonzero(offsets[text + 1] - at[:n] >= length)
     if not len(starts):
         return none
-    anchor, text = anchor[starts], text[starts]
-    cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-    return tb.mix(hashes[anchor[cut]], 3), text[cut], starts[cut], np.diff(np.append(cut, len(starts)))
+    text = text[starts]
+    new = np.concatenate([[True], text[1:] != text[:-1]])
+    anchors = []
+    for level in levels:
+        hashes = _gram_hashes(data, gram, level)
+        anchor = (_least((hashes & ~_PLACE) | at.astype(np.uint64), length - gram + 1) & _PLACE).astype(np.int64)[starts]
+        new[1:] |= anchor[1:] != anchor[:-1]
+        anchors.append(hashes[anchor])
+    cut = np.flatnonzero(new)
+    key = np.zeros(len(cut), np.uint64)
+    for level, anchor in zip(levels, anchors, strict=True):
+        key = tb.mix(key ^ anchor[cut], 3 + level)
+    return key, text[cut], starts[cut], np.diff(np.append(cut, len(starts)))
 
 
 def _first_of_each(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,8 +328,8 @@ def _anchors(length: int, gram: int) -> Callable:
     return run
 
 
-def _divided(length: int, gram: int, level: int) -> Callable:
-    """Regions of busy keys, divided by the anchors of another hash: REGIONS rows under the pair of keys."""
+def _divided(length: int, gram: int) -> Callable:
+    """Regions of busy keys, divided by the anchors of further hashes: REGIONS rows under all anchors together."""
 
     def run(batches):
         for batch in batches:
@@ -332,9 +343,9 @@ def _divided(length: int, gram: int, level: int) -> Callable:
                 for lo, hi in tb.runs(np.concatenate([[0], np.cumsum(sizes)])):
                     bounds = np.concatenate([[0], np.cumsum(sizes[lo:hi])])
                     piece = own[np.repeat(at[lo:hi] - bounds[:-1], sizes[lo:hi]) + np.arange(bounds[-1])]
-                    anchor, region, begin, windows = regions_of(piece, bounds, length, gram, level)
-                    pair = tb.mix(anchor ^ tb.mix(key[lo:hi].view(np.uint64)[region], level))
-                    yield _region_rows(piece, pair, begin, windows, np.full(len(begin), document, np.int64), begin - bounds[region] + at[lo:hi][region], length)
+                    anchor, region, begin, windows = regions_of(piece, bounds, length, gram, DIVIDERS)
+                    anchor = tb.mix(anchor ^ key[lo:hi].view(np.uint64)[region])
+                    yield _region_rows(piece, anchor, begin, windows, np.full(len(begin), document, np.int64), begin - bounds[region] + at[lo:hi][region], length)
 
     return run
 
@@ -513,20 +524,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         busy = busy.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("hot"))
         return regions.join(busy, ["key", "salt"], "left").select("key", "doc_id", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
 
-    def with_texts(regions: DataFrame) -> DataFrame:
-        by_doc = regions.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n", "hot")).alias("regions"))
-        return dealt.join(by_doc, "doc_id").select("doc_id", "text", "regions")
+    def by_doc(regions: DataFrame) -> DataFrame:
+        return regions.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n", "hot")).alias("regions"))
 
     events = resolved(named.mapInArrow(_anchors(length, gram), REGIONS))
     repeated, regions = events.where("kind = 0").select("doc_id", "at", "n"), busy_marked(events)
-    for level in range(1, LEVELS + 1):
-        busy = regions.where("hot")
-        if busy.isEmpty():
-            break
-        events = resolved(with_texts(busy).mapInArrow(_divided(length, gram, level), REGIONS))
+    busy = scratch.keep(by_doc(regions.where("hot")), "busy")  # stored, so that Spark knows its size when it plans the join
+    if not busy.isEmpty():
+        events = resolved(named.join(busy, "doc_id").select("doc_id", "text", "regions").mapInArrow(_divided(length, gram), REGIONS))
         repeated = repeated.union(events.where("kind = 0").select("doc_id", "at", "n"))
         regions = regions.where("NOT hot").union(busy_marked(events))
-    compared = with_texts(regions).mapInArrow(_cut(length), SHARD_ROWS)
+    compared = dealt.join(by_doc(regions), "doc_id").select("doc_id", "text", "regions").mapInArrow(_cut(length), SHARD_ROWS)
     compared = compared.repartition("key").sortWithinPartitions("hot", "key", "class", "class2", "doc_id", "at").mapInArrow(_shards(length, shard_bytes), "doc_id long, at long, n int")
     spans = repeated.union(compared)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
