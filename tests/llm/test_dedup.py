@@ -9,6 +9,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import exact_dedup, minhash, suffix_dedup
 from skein.llm.storage import Scratch
@@ -56,6 +57,102 @@ def test_minhash_equals_all_pairs(spark, size):
     assert got == {d: (n, c, c == d) for d, (n, c) in plain_components(rows, size, 80).items()}
 
 
+def graded(rng, families, copies, words=60):
+    """Families of copies that differ from their base by more and more words."""
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for family in range(families):
+        base = [rng.choice(vocabulary) for _ in range(words)]
+        for _ in range(copies):
+            rate = rng.choice([0.0, 0.01, 0.02, 0.03, 0.045])
+            rows.append(" ".join(rng.choice(vocabulary) if rng.random() < rate else w for w in base))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("query_bytes", [None, 400])
+def test_search_in_blocks_equals_all_pairs(spark, monkeypatch, query_bytes):
+    """With blocks of a text or two and parts of a few, each family is searched in many blocks and parts."""
+    if query_bytes:
+        monkeypatch.setattr(minhash, "QUERY_BYTES", query_bytes)
+        monkeypatch.setattr(minhash, "PART_BYTES", 1500)
+    monkeypatch.setattr(minhash, "RARE", 2)
+    rows = graded(random.Random(12), 3, 110)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows), shingle_words=5).collect()}
+    assert got == plain_components(rows, 5, 80)
+
+
+def test_many_queries_in_one_family():
+    """More than a thousand sets in an index, compared with a plain count."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(1500)]
+    index = minhash._Index(sets)
+    for own in sets[::150]:
+        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, own)) >= 80 * len(np.union1d(s, own))]
+        assert index.links(own, 80).tolist() == want
+
+
+def test_texts_are_sent_once_to_their_family(spark, monkeypatch):
+    """Twice the families, twice the rows of the search, however many queries there are in all."""
+    monkeypatch.setattr(minhash, "QUERY_BYTES", 1 << 16)
+    seen, keep = [], Scratch.keep
+
+    def counted(self, df, label):
+        out = keep(self, df, label)
+        if label == "family":
+            seen.append((out.count(), out.agg(F.sum("bytes")).first()[0]))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    monkeypatch.setattr(minhash, "RARE", 0)
+    for families in (2, 4):
+        minhash.near_duplicates(frame(spark, graded(random.Random(3), families, 60))).count()
+    assert len(seen) == 2 and seen[1][0] < 2.6 * seen[0][0]
+
+
+def test_look_alike_words_are_not_linked(spark):
+    """Thue-Morse words and their complements have equal sums of powers modulo 2 ** 64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, [(1, x), (2, y), (3, x + " " + y), (4, y + " " + x), (5, x)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_sets_do_not_rest_on_hashes(monkeypatch, size):
+    """With hashes of a few values the exact sets are still those of the words."""
+    texts = ["a b c d e f g", "a b x d e f g", "a", "b", "", "c d", "a b c d e f h", "a  b c\nd e f g"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    true = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()} for w in map(str.split, texts)]
+
+    def check():
+        sets = minhash.Shingled(data, offsets, size).exact_sets()
+        assert [[len(np.intersect1d(a, b)) for b in sets] for a in sets] == [[len(a & b) for b in true] for a in true]
+
+    check()
+    digests = minhash.Shingled(data, offsets, size).digested()[1]
+    assert [[a == b for b in digests] for a in digests] == [[a == b for b in true] for a in true]
+    monkeypatch.setattr(minhash.tb.Spans, "hash", lambda self, a, b, seed=0: (b - a).astype(np.uint64) % np.uint64(2))
+    check()
+
+
+def test_minhash_repeated_ids(spark):
+    """Of an id's texts the one of the smallest MD5 digest is judged, whatever the order of the rows."""
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g"]
+    chosen = min(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    for order in (texts, texts[::-1]):
+        rows = [(9, t) for t in order] + [(2, chosen), (3, "other words of no one else at all")]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+        assert got[9] == (len(chosen.split()) - 4, 2) and got[3][1] == 3 and len(got) == 3
+
+
+def test_minhash_long_text(spark):
+    text = " ".join(f"w{i % 9001}" for i in range(200_000))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, [(1, text), (2, text + " end"), (3, text[:50_000])])).collect()}
+    assert got[1] == (9001, 1) and got[2] == (9002, 1)
+
+
 def test_minhash_odd_rows(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
     got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame(spark, rows)).collect())
