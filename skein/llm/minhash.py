@@ -332,11 +332,11 @@ class _Links:
         return nodes.join(self.components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _met(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+def _met(rows: DataFrame, known: DataFrame, *key: str, how: str = "inner") -> DataFrame:
     """rows with what is known of their key, if anything is; rows of one key meet it in SALTS parts."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    return salted.join(known.withColumn("salt", every), [key, "salt"]).drop("salt")
+    return salted.join(known.withColumn("salt", every), [*key, "salt"], how).drop("salt")
 
 
 def _open(scratch: Scratch, found: _Links, rows: DataFrame) -> DataFrame:
@@ -426,7 +426,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.keep(all_docs.mapInArrow(_sign(shingle_words, count), SIGNED), "signed")
     sets = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("row", "n_shingles", "digest")).alias("s")).select("doc_id", "s.*")
     full = sets.where("n_shingles > 0")
-    classes = full.groupBy("digest", "n_shingles").agg(F.min(F.struct("doc_id", "row")).alias("rep")).select("digest", "n_shingles", "rep.*")
+    classes = full.groupBy("digest", "n_shingles").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count(F.lit(1)).alias("members")).select("digest", "n_shingles", "members", "rep.*")
 
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("minima", i * rows + 1, rows)))).alias("bucket")
     entries = signed.join(classes.select("doc_id", "row"), ["doc_id", "row"], "left_semi").select("doc_id", "row", band)
@@ -444,7 +444,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _compare_rest(scratch, found, open_rows.select("bucket", "doc_id"), shingle_words, percent)
     scratch.drop(open_rows, texts, minima_of)
 
-    rows_out = full.join(classes.withColumnRenamed("doc_id", "rep").drop("row"), ["digest", "n_shingles"]).select(F.col("doc_id").alias("id"), "n_shingles", F.col("rep").alias("doc_id"))
+    shared_sets = classes.where("members > 1").select("digest", "n_shingles", F.col("doc_id").alias("rep"))
+    rows_out = _met(full, shared_sets, "digest", "n_shingles", how="left").select(F.col("doc_id").alias("id"), "n_shingles", F.coalesce("rep", "doc_id").alias("doc_id"))
     linked = found.labels(rows_out).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
     alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     unnamed = signed.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
