@@ -7,13 +7,14 @@ A template is wording with regions in mark-up:
 
 It is compiled into an automaton over tokens whose states are positions in the wording. An accepted stretch of a text holds
 all mandatory words, in order and exactly. The automaton starts only where a text has the template's first mandatory words,
-which a vectorised search over word hashes finds, so the work follows the places and not the texts.
+which a vectorised search over word hashes finds, so the work follows the places and not the texts. Optional regions
+may stand before them: what is accepted with such a region is accepted without it, from the mandatory words on.
 
-The base labels come from fixed phrases, which are templates without regions. Score: 1 for a text with a full notice (a
-template), 0.9 for a base phrase only, else 0.
+The base labels come from fixed phrases, which are templates without regions. Score: 1 for a text with a whole license or a notice,
+0.9 for a base phrase, 0.5 for the opening of a license only, else 0.
 
 Defined results: a null text is empty, and a text without words has no label, no place and score 0; every place counts,
-overlapping ones too; repeated rows give repeated results.
+overlapping ones too; repeated rows give repeated results; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,18 +33,51 @@ from skein.llm import textbytes as tb
 # fixed values: base phrases and their labels
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label and template; the first three words of a template are mandatory.
+# fixed values: the wording of licenses and notices, lower case, with their optional and replaceable regions
+_MIT = (
+    "<<optional>> <<optional>> the <</optional>> mit license <<optional>> mit <</optional>> <</optional>> <<optional>> copyright <<optional>> c <</optional>> <<var:1-10>> <</optional>> "
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+    "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom "
+    "the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <</optional>> "
+    "shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not "
+    "limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var:1-8>> be liable for any claim damages or other "
+    "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> <<var:1-1>> <</optional>> "
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>> <<var:1-1>> <</optional>> "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+    "provided with the distribution <<optional>> <<optional>> <<var:1-1>> <</optional>> neither the name of <<var:1-12>> nor the names of <<var:1-3>> may be used to endorse or "
+    "promote products derived from this software without specific prior written permission <</optional>> this software is provided by <<var:1-8>> as is and any express or "
+    "implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:1-8>> be "
+    "liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data "
+    "or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any "
+    "way out of the use of this software even if advised of the possibility of such damage"
+)
+_ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+    "notice appear in all copies the software is provided as is and <<var:1-6>> disclaims all warranties with regard to this software including all implied warranties of "
+    "merchantability and fitness in no event shall <<var:1-6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use "
+    "data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+#: Label and template. ``license`` is a whole license text, ``notice`` a sentence that grants by name, ``opening`` the first sentence of a
+#: license only, which says nothing about the rest.
 TEMPLATES = (
+    ("license:mit", _MIT),
+    ("license:bsd", _BSD),
+    ("license:isc", _ISC),
     ("notice:apache-2", "licensed under the apache license <<optional>> version <</optional>> 2 0"),
     ("notice:gpl", "licensed under the <<optional>> terms of the <</optional>> gnu <<optional>> lesser <</optional>> <<optional>> affero <</optional>> general public license <<optional>> version <<var:1-1>> <</optional>>"),
     ("notice:cc", "licensed under cc by <<optional>> nc <</optional>> <<optional>> sa <</optional>> <<optional>> nd <</optional>> <<var:1-1>> 0"),
     ("notice:cc", "licensed under a creative commons attribution <<var:0-4>> license"),
     ("notice:mit", "released under the mit license"),
     ("notice:mit", "licensed under the <<optional>> terms of the <</optional>> mit license"),
-    ("notice:mit-full", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>> the software <</optional>> to deal in the software without restriction"),
-    ("notice:bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("notice:copyright", "all rights reserved <<var:0-8>> redistribution <<optional>> in any form <</optional>> is prohibited"),
+    ("opening:mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("opening:bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 )
+#: By the strongest kind of label; base phrases count 0.9.
+SCORES = {"license": 1.0, "notice": 1.0, "opening": 0.5}
 
 _MARK = re.compile(r"<<(/?)(optional|var)(?::(\d+)-(\d+))?>>|(\S+)")
 ANCHOR = 3
@@ -86,9 +120,10 @@ def compile_template(label: str, template: str) -> Automaton:
         if m[5]:
             moves[here].append((m[5], state()))
             words += 1
-            plain and first.append(m[5])
+            if plain and not open_at:
+                first.append(m[5])
         elif m[2] == "var":
-            plain = False
+            plain = plain and bool(open_at)
             for i in range(int(m[4])):
                 if i >= int(m[3]):
                     empty[len(moves) - 1].add(("end", len(open_at), m.start()))
@@ -102,7 +137,7 @@ def compile_template(label: str, template: str) -> Automaton:
         elif m[1]:
             empty[open_at.pop()].add(here)
         else:
-            plain = False
+            plain = not first  # a region may stand before the first mandatory words, but not among them
             open_at.append(here)
     if open_at or len(first) < ANCHOR:
         raise ValueError(f"a template needs closed regions and {ANCHOR} mandatory words first: {template}")
@@ -176,7 +211,7 @@ def _scan_run(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, phrases: dic
         "last_word": pa.array([max(x, default=None) for x in places], pa.int64()),
         "base_labels": pa.array(join[0], pa.string()),
         "labels": pa.array(join[1], pa.string()),
-        "score": pa.array([1.0 if f else 0.9 if b else 0.0 for b, f in zip(base, full, strict=True)], pa.float64()),
+        "score": pa.array([max([0.9 * bool(b), *(SCORES.get(x.partition(":")[0], 1.0) for x in f)]) for b, f in zip(base, full, strict=True)], pa.float64()),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -215,7 +250,7 @@ b AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM a),
 c AS (SELECT doc_id, len(w) AS n_words, {starts} AS p, list_filter([{base}], lambda x: x IS NOT NULL) AS bl, list_filter([{more}], lambda x: x IS NOT NULL) AS ml FROM b)
 SELECT doc_id, n_words::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p)::BIGINT AS first_word, list_max(p)::BIGINT AS last_word,
        array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels, array_to_string(list_sort(list_distinct(bl || ml)), ',') AS labels,
-       CASE WHEN len(ml) > 0 THEN 1.0 WHEN len(bl) > 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS score
+       CASE WHEN len(list_filter(ml, lambda x: x NOT LIKE 'opening:%')) > 0 THEN 1.0 WHEN len(bl) > 0 THEN 0.9 WHEN len(ml) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM c
 """
 
