@@ -313,8 +313,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
-    found = find_items(docs, items, text_col, item_col, item_text_col).select(F.col("text_key").alias("contaminated_text_key"))
-    return docs.join(found, F.sha2(docs[text_col], 256) == F.col("contaminated_text_key"), "left_anti")
+    key = max(docs.columns, key=len) + "_key"  # no column's name
+    found = find_items(docs, items, text_col, item_col, item_text_col).select(F.col("text_key").alias(key))
+    return docs.join(found, F.sha2(docs[text_col], 256) == F.col(key), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,8 +72,12 @@ def part(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.nd
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the number of the first word of each text with the total at the end."""
-    inside = table[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
+    return spans_of(table[data], offsets)
+
+
+def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the runs of bytes that are inside words."""
+    edge = np.zeros(len(inside) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty_like(inside)
     before[:1] = False

@@ -50,6 +50,26 @@ def test_templates_equal_patterns():
             assert bool(automaton.match(text)) == bool(pattern.match(" " + " ".join(text))), (template, text)
 
 
+def _spoken(template):
+    """A template's wording with its replaceable regions filled."""
+    return re.sub(r"\s+", " ", re.sub(r"<<var:[^>]*>>", "someone", template).replace("<<optional>>", "").replace("<</optional>>", "")).strip()
+
+
+def test_partial_licenses_are_not_labelled(spark):
+    for label, template in license_scan.TEMPLATES[:3]:
+        words = _spoken(template).split()
+        cut = [words[: len(words) // 2], words[:-1], [*words[:-6], "not", *words[-6:]]]
+        rows = [(0, "Before: " + " ".join(words).upper() + ". After"), *((i, " ".join(w)) for i, w in enumerate(cut, 1))]
+        got = {r["doc_id"]: (label in r["labels"].split(","), r["score"]) for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+        assert got[0] == (True, 1.0)
+        assert all(not got[k][0] and got[k][1] <= 0.9 for k in (1, 2, 3)), label
+    bare = _spoken(license_scan.TEMPLATES[0][1])
+    bare = bare[bare.index("permission is") :]
+    assert "license:mit" in license_scan.scan_licenses(frame(spark, [(1, bare)])).first()["labels"]
+    with pytest.raises(ValueError):
+        license_scan.compile_template("x", "one two <<optional>> three <</optional>> four five six")
+
+
 def test_license_rows(spark):
     rows = [(1, "x Under the MIT license, under THE mit-license"), (2, None), (3, "..."), (4, "Licensed under the Apache License,\nVersion 2.0."), (4, "cc-by-nc cc by nc"), (5, "CC BY NCÉ"), (None, "licensed under the gnu affero general public license v3"), (6, "y " * 100_000 + "under the mit license")]
     got = sorted(repr((r["doc_id"] or 0, *tuple(r)[1:])) for r in license_scan.scan_licenses(frame(spark, rows)).collect())
@@ -336,6 +356,36 @@ def test_mixing_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_prefixes_of_the_schedule_keep_to_the_targets(spark, sf):
+    """After any number of slots each source has had its share of them to within a few."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sizes = docs.select("source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).alias("n")).groupBy("source").agg(F.sum("n").cast("long").alias("source_size"))
+    targets = mixing.source_targets(sizes).collect()
+    total = sum(int(t["target"]) for t in targets)
+    highs = np.cumsum([int(t["target"]) for t in sorted(targets, key=lambda t: t["place"])]) / total
+    slots = spark.range(-(-total // 256)).mapInArrow(mixing._placed(highs, np.arange(len(highs), dtype=np.int32)), "id long, place int").orderBy("id").collect()
+    had = np.zeros(len(highs))
+    for k, row in enumerate(slots, 1):
+        had[row["place"]] += 1
+        assert np.abs(had - k * np.diff(highs, prepend=0)).max() < 4
+    got = mixing.op7_mix_sources(spark, sf).join(docs.select("doc_id", "source"), "doc_id").where("taken > 0").collect()
+    share = {t["source"]: t["target"] / total for t in targets}
+    for most in (len(slots) // 4, len(slots) // 2):  # documents that have come up by a slot, by source
+        early = Counter(r["source"] for r in got if r["first_slot"] < most)
+        assert set(early) == {s for s, x in share.items() if x > 0.01} | (set(early) - {s for s, x in share.items() if x > 0.01})
+    assert all(r["slots"] >= 1 and r["first_slot"] >= 0 for r in got)
+
+
+def test_mixing_ties_and_long_texts(spark):
+    """Equal ids and texts share a place in the order; a long text covers many blocks; runs agree."""
+    rows = [(1, "w " * 100_000, "s"), (2, "a b", "s"), (2, "a b", "s"), (2, "a c", "s"), (3, "x " * 500, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = sorted(mixing.mix(docs).collect(), key=key)
+    assert got == sorted(mixing.mix(docs.repartition(3)).collect(), key=key) and len(got) == 5
+    assert all(r["taken"] <= 3 * r["size"] for r in got) and max(r["slots"] for r in got) > 350
+
+
 def test_mixing_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c", "s", 1), (1, "a b", "s", 1), (1, "a b", "s", 1), (2, None, "t", 1)], "doc_id long, text string, source string, taken int")
     got = mixing.mix(docs).collect()
@@ -374,6 +424,40 @@ def test_viterbi_equals_a_plain_program():
         assert total(label[a:b].tolist()) == pytest.approx(total(path[::-1]), abs=1e-3)
 
 
+def test_scripts_are_ranges_of_letters():
+    import unicodedata
+
+    names = {"LATIN": "latin", "GREEK": "greek", "CYRILLIC": "cyrillic", "HEBREW": "hebrew", "ARABIC": "arabic", "HANGUL": "hangul", "CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana", "ARMENIAN": "armenian", "GEORGIAN": "georgian", "DEVANAGARI": "south asian", "THAI": "southeast asian"}
+    wrong = []
+    for point in range(0x10000):
+        c, kind = chr(point), unicodedata.category(chr(point))
+        if kind in ("Cs", "Cn", "Co"):
+            continue
+        number = set(langid._scripts(np.frombuffer(c.encode(), np.uint8)).tolist())
+        assert len(number) == 1
+        script = "" if number == {langid._NO_LETTER} else langid.SCRIPT_NAMES[number.pop()]
+        want = names.get(unicodedata.name(c, "").split(" ")[0])
+        if kind[0] == "L" and want and script not in (want, "mark"):
+            wrong.append((hex(point), want, script))
+        if kind in ("Po", "Pi", "Pf", "Ps", "Pe", "Zs", "Nd") and point < 0x3000 and 0x700 > point or 0x2000 <= point < 0x2C00:
+            assert script == "" or kind[0] in "LM" or point in (0x55A, 0x5BE, 0x5C0, 0x5C3, 0x5C6), hex(point)
+    assert len(wrong) < 20, wrong
+
+
+def test_apostrophes_and_quotes_are_no_script():
+    data = np.frombuffer("it\u2019s \u201cdone\u201d \u2013 caf\u00e9 \u0434\u043e\u043c e\u0301t".encode(), np.uint8)
+    _, at, scripts, first = langid._grams(data, np.array([0, len(data)]))
+    assert [langid.SCRIPT_NAMES[s] for s in scripts] == ["latin", "latin", "latin", "latin", "cyrillic", "latin"] and first[-1] == 6
+
+
+def test_language_ties_repeats_and_clashing_names(spark):
+    rows = [(i, "la casa y el mar " * 4, "b", "x", True) for i in range(10)] + [(20 + i, "la casa y el mar " * 4, "a", "x", True) for i in range(10)]
+    rows += [(100, "la casa", None, "x", True), (100, "la casa", None, "x", True), (100, None, None, "x", True), (101, "the " * 3, None, "x", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, held_out boolean")
+    got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(docs, F.col("doc_id") >= 100).where("held_out").collect()]
+    assert sorted(got) == [(100, "a"), (100, "a"), (100, "und"), (101, "a")]
+
+
 def test_language_odd_rows(spark):
     rows = [(i, "the house and the tree " * 5, "en") for i in range(20)] + [(50 + i, "дом и дерево " * 5, "ru") for i in range(20)]
     odd = [(100, None, None), (101, "", "en"), (102, "123 — !!", "en"), (None, "the tree", None), (103, "дерево", None), (104, "the house and the tree", None), (105, "日本", None), (106, "the house " * 5 + "дом и дерево " * 20, None), (107, "the house " * 40_000, None)]
@@ -391,27 +475,6 @@ def test_language_odd_rows(spark):
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = docs.columns, {r["doc_id"] for r in docs.collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == columns, name
-        now = [r["doc_id"] for r in out.collect()]
-        assert set(now) <= before
-        if name == "toxicity":
-            assert len(now) > 0.85 * len(before)
-        elif name != "source_mixing":
-            assert 0.6 * len(before) < len(now) == len(set(now))
-        if name == "source_mixing":
-            assert max(Counter(now).values()) <= 3
-        docs, before = out, set(now)
-    total = docs.count()
-    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert tokens.count() == total
-    assert corpus_pipeline.run(spark, sf).count() == total
-
-
 def test_pipeline_keeps_rows_without_an_id(spark, sf):
     docs = spark.createDataFrame([(None, "some words here that are fine", None, None, None), (3, None, None, None, None)], spark.read.parquet(f"{sf}/documents.parquet").schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
