@@ -29,13 +29,14 @@ DEFAULTS = {
 def conventions(symbols: DataFrame, importing: DataFrame) -> DataFrame:
     """symbols: (language, name, symbol_type); importing: (language) of files with imports. One row per language."""
     kind = F.col("symbol_type")
-    names = symbols.groupBy("language").agg(F.collect_list(F.when(kind == "class", F.col("name"))).alias("c"), F.collect_list(F.when(kind.isin("function", "method"), F.col("name"))).alias("f"))
+    classes, functions = F.when(kind == "class", F.col("name")), F.when(kind.isin("function", "method"), F.col("name"))
+    names = symbols.groupBy("language").agg(class_naming(classes).alias("classes"), function_naming(functions).alias("functions"))
     handling = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in ERROR_HANDLING.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("language")), F.array().cast("array<string>"))
     grouped = importing.select("language").distinct().withColumn("grouped", F.array(F.lit("Imports grouped by type")))
     out = names.join(grouped, "language", "left")
     ordering = F.concat(F.coalesce("grouped", F.array().cast("array<string>")), F.array(F.lit("Alphabetically sorted within groups")))
     style = F.create_map(*(F.lit(x) for kv in CODE_STYLE.items() for x in kv))
-    return out.select("language", class_naming(F.col("c")).alias("classes"), function_naming(F.col("f")).alias("functions"), handling.alias("error_handling"), ordering.alias("import_ordering"), style.alias("code_style"), F.lit(DOCUMENTATION_STYLE).alias("documentation_style"))
+    return out.select("language", "classes", "functions", handling.alias("error_handling"), ordering.alias("import_ordering"), style.alias("code_style"), F.lit(DOCUMENTATION_STYLE).alias("documentation_style"))
 
 
 def sample_files(scored: DataFrame, size: int, seed: int | None = None) -> DataFrame:

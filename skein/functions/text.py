@@ -164,17 +164,22 @@ def line_counts(text: Column, language: Column) -> tuple[Column, Column, Column]
     return F.size(lines), comments, F.size(full) - comments
 
 
-def class_naming(names: Column) -> Column:
-    """What a list of class names has in common."""
-    named = F.filter(names, lambda n: n != "")
-    return F.when(F.size(names) == 0, "Unknown").when(F.forall(named, lambda n: F.substring(n, 1, 1).rlike(r"\p{Lu}")), "PascalCase (UpperCamelCase)").otherwise("Mixed case")
+def _every(where: Column, holds: Column) -> Column:
+    """Whether the condition holds for every row of a group where the first one does; an aggregate of one bit."""
+    return F.coalesce(F.bool_and(F.when(where, holds)), F.lit(True))
 
 
-def function_naming(names: Column) -> Column:
-    """What a list of function names has in common; names of up to three characters don't count against snake_case."""
-    long, named = F.filter(names, lambda n: F.char_length(n) > 3), F.filter(names, lambda n: n != "")
-    camel = F.forall(named, lambda n: F.substring(n, 1, 1).rlike(r"\p{Ll}") & n.rlike(r"^.+\p{Lu}"))
-    return F.when(F.size(names) == 0, "Unknown").when(F.forall(long, lambda n: n.contains("_")), "snake_case").when(camel, "camelCase").otherwise("Mixed case")
+def class_naming(name: Column) -> Column:
+    """What a group's class names have in common; nulls are no names."""
+    upper = _every(name != "", F.substring(name, 1, 1).rlike(r"\p{Lu}"))
+    return F.when(F.count(name) == 0, "Unknown").when(upper, "PascalCase (UpperCamelCase)").otherwise("Mixed case")
+
+
+def function_naming(name: Column) -> Column:
+    """What a group's function names have in common; names of up to three characters don't count against snake_case."""
+    snake = _every(F.char_length(name) > 3, name.contains("_"))
+    camel = _every(name != "", F.substring(name, 1, 1).rlike(r"\p{Ll}") & name.rlike(r"^.+\p{Lu}"))
+    return F.when(F.count(name) == 0, "Unknown").when(snake, "snake_case").when(camel, "camelCase").otherwise("Mixed case")
 
 
 def estimated_tokens(text: Column) -> Column:

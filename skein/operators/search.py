@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.graph import centrality
+from skein.sources.scratch import cut
 
 # fixed values: weights of certainty, rerank score and centrality, without and with reranking
 WEIGHTS = {"tested": {False: (0.5, 0.0, 0.5), True: (0.5, 0.35, 0.15)}, "as_coded": {False: (0.5, 0.0, 0.15), True: (0.5, 0.35, 0.5)}}
@@ -45,22 +46,21 @@ def vector_search(units: DataFrame, query: list[float], limit: int = 10, offset:
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """Okapi BM25 scores of the documents that hold a query word.
 
-    One pass gives lengths and the counts of query words only, so no posting list of the corpus is ever built. Words are
-    runs of a-z and digits of the lower-cased text.
+    One pass over the texts stores lengths and the counts of query words only, so no posting list of the corpus is ever
+    built; totals and scores read that table. Words are runs of a-z and digits of the lower-cased text. A query without
+    words finds nothing.
     """
     terms = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
-    low = F.lower(F.col(text_col))
-
-    hits = F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])"), F.lit(0))
+    if not terms:
+        return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
 
     def times(term: str) -> Column:
-        return F.size(F.filter("hits", lambda word: word == F.lit(term)))
+        return F.size("words") - F.size(F.array_remove("words", term))
 
-    any_term = low.rlike(f"(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])")
-    counts = docs.select(id_col, any_term.alias("holds"), F.regexp_count(low, F.lit("[a-z0-9]+")).alias("n"), hits.alias("hits"))
-    counts = counts.select(id_col, "holds", "n", *(times(t).alias(f"t{i}") for i, t in enumerate(terms)))
+    words = docs.select(id_col, F.split(F.lower(F.col(text_col)), "[^a-z0-9]+").alias("words"))
+    counts = cut(words.select(id_col, (F.size("words") - times("")).alias("n"), *(times(t).alias(f"t{i}") for i, t in enumerate(terms))))
     totals = counts.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
-    rows = counts.where("holds").join(F.broadcast(totals))  # one row
+    rows = counts.where(" OR ".join(f"t{i} > 0" for i in range(len(terms)))).join(F.broadcast(totals))  # one row
 
     def part(i: int) -> Column:
         tf, df = F.col(f"t{i}"), F.col(f"d{i}")
@@ -100,9 +100,11 @@ def assemble(hits: DataFrame, metrics: DataFrame | None, latest: DataFrame, rera
 def trim_to_budget(results: DataFrame, max_tokens: int = 4096, order: tuple = ("rank",), content: str = "content", path: str = "file_path") -> DataFrame:
     """The longest prefix of the results whose running cost stays within 4 * max_tokens characters.
 
-    The results are a top list, so one ordered window over them is small.
+    Nulls cost as empty texts. Each result costs the overhead at least, so no more than budget / overhead can stay; only
+    so many, the first in the order, reach the window.
     """
-    cost = F.char_length(content) + F.char_length(path) + RESULT_OVERHEAD
+    cost = F.coalesce(F.char_length(content), F.lit(0)) + F.coalesce(F.char_length(path), F.lit(0)) + RESULT_OVERHEAD
+    results = results.orderBy(*order).limit(4 * max_tokens // RESULT_OVERHEAD)
     running = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return results.withColumn("running_cost", running).where(F.col("running_cost") <= 4 * max_tokens)
 

@@ -52,14 +52,8 @@ def _both(n: int, tail: str) -> str:
     return f"{up}, {down}, f AS (SELECT DISTINCT seed, 'upstream' AS direction, node, length FROM t UNION ALL SELECT DISTINCT seed, 'downstream', node, length FROM d) {tail}"
 
 
-@query("dependencies_trails", _both(4, "SELECT * FROM f"), "imports", "seeds")
+@query("dependencies_trails", _both(5, "SELECT * FROM f"), "imports", "seeds")
 def dependencies_trails(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.dependencies(*tables(spark, sf, "imports", "seeds"), "both", 4)
-
-
-@query("dependencies_trails_full", _both(5, "SELECT * FROM f"), "imports", "seeds")
-def dependencies_trails_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Five hops."""
     return graph.dependencies(*tables(spark, sf, "imports", "seeds"), "both", 5)
 
 
@@ -86,16 +80,16 @@ def _shown(paths: DataFrame) -> DataFrame:
     return paths.withColumn("nodes", F.concat(F.lit("["), F.array_join("nodes", ", "), F.lit("]")))
 
 
-@query("call_chains", _PATHS.format(seeds="call_seeds", edges="calls", more="", trail=_TRAIL.format(edges="calls", seeds="call_seeds", **_UP, n=6)[1:]), "calls", "call_seeds")
+@query("call_chains", _PATHS.format(seeds="call_seeds", edges="calls", more="", trail=_TRAIL.format(edges="calls", seeds="call_seeds", **_UP, n=10)[1:]), "calls", "call_seeds")
 def call_chains(spark: SparkSession, sf: str) -> DataFrame:
     calls, seeds = tables(spark, sf, "calls", "call_seeds")
-    return _shown(graph.paths_between(calls, _pairs(calls, seeds), 6))
+    return _shown(graph.paths_between(calls, _pairs(calls, seeds)))
 
 
-@query("dependency_paths", _PATHS.format(seeds="seeds", edges="imports", more=", length AS imports_on_path", trail=_TRAIL.format(**_IMPORTS, **_UP, n=6)[1:]), "imports", "seeds")
+@query("dependency_paths", _PATHS.format(seeds="seeds", edges="imports", more=", length AS imports_on_path", trail=_TRAIL.format(**_IMPORTS, **_UP, n=10)[1:]), "imports", "seeds")
 def dependency_paths(spark: SparkSession, sf: str) -> DataFrame:
     imports, seeds = tables(spark, sf, "imports", "seeds")
-    return _shown(graph.paths_between(imports, _pairs(imports, seeds), 6, relation="IMPORTS")).withColumn("imports_on_path", F.size("relations")).drop("relations")
+    return _shown(graph.paths_between(imports, _pairs(imports, seeds), relation="IMPORTS")).withColumn("imports_on_path", F.size("relations")).drop("relations")
 
 
 @query("service_topology", "SELECT a.service AS source_service, b.service AS target_service, count(*) AS import_count FROM imports JOIN belongs_to a ON a.file_path = src JOIN belongs_to b ON b.file_path = dst WHERE a.service <> b.service GROUP BY 1, 2", "imports", "belongs_to")
@@ -138,15 +132,8 @@ def criticality(spark: SparkSession, sf: str) -> DataFrame:
     return graph.acs_full(imports, graph.betweenness(imports))
 
 
-@query("git_blame", "SELECT m.file_path, m.commit_hash, c.author, c.commit_date, array_to_string(list_sort(list(DISTINCT m.lo || '-' || m.hi)), ',') AS line_ranges FROM modified m JOIN commits c ON c.commit_hash = m.commit_hash WHERE m.lo <= 40 AND m.hi >= 20 AND m.file_path % 10 = 3 GROUP BY 1, 2, 3, 4", "modified", "commits")
+@query("git_blame", "SELECT m.file_path, m.commit_hash, c.author, c.commit_date, array_to_string(list_sort(list(DISTINCT m.lo || '-' || m.hi)), ',') AS line_ranges FROM modified m JOIN commits c ON c.commit_hash = m.commit_hash WHERE m.lo <= 40 AND m.hi >= 20 GROUP BY 1, 2, 3, 4", "modified", "commits")
 def git_blame(spark: SparkSession, sf: str) -> DataFrame:
-    modified, commits = tables(spark, sf, "modified", "commits")
-    return graph.git_blame(modified.where("file_path % 10 = 3"), commits, lines=(20, 40)).withColumn("line_ranges", F.array_join("line_ranges", ","))
-
-
-@query("git_blame_all", ORACLES["git_blame"].replace(" AND m.file_path % 10 = 3", ""))
-def git_blame_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every file."""
     return graph.git_blame(*tables(spark, sf, "modified", "commits"), lines=(20, 40)).withColumn("line_ranges", F.array_join("line_ranges", ","))
 
 
@@ -161,19 +148,11 @@ def graph_integrity(spark: SparkSession, sf: str) -> DataFrame:
     return graph.integrity(files, symbols, defines, belongs)
 
 
-_RISK = _TRAIL.format(edges="imports", seeds="wanted", **_DOWN, n=3)
+_RISK = _TRAIL.format(edges="imports", seeds="wanted", **_DOWN, n=5)
 
 
 @query("risk_context", "+wanted AS (SELECT seed FROM seeds UNION ALL SELECT -1), " + _RISK[1:] + f", n AS (SELECT seed, count(*) AS n FROM (SELECT DISTINCT seed, node, length FROM t) GROUP BY seed), r AS (SELECT w.seed AS file_path, least(coalesce(d.degree, 0) / 10.0, 1.0)::DOUBLE AS acs_score, coalesce(n.n, 0) AS downstream_count, f.file_path IS NOT NULL AS known FROM wanted w LEFT JOIN files f ON f.file_path = w.seed LEFT JOIN n ON n.seed = w.seed LEFT JOIN {_DEGREE} d ON d.node = w.seed) SELECT file_path, acs_score, downstream_count, CASE WHEN NOT known THEN 'MEDIUM' WHEN acs_score >= 0.8 OR downstream_count >= 10 THEN 'CRITICAL' WHEN acs_score >= 0.6 OR downstream_count >= 5 THEN 'HIGH' WHEN acs_score >= 0.4 OR downstream_count >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM r", "imports", "seeds", "files")
 def risk_context(spark: SparkSession, sf: str) -> DataFrame:
-    imports, seeds, files = tables(spark, sf, "imports", "seeds", "files")
-    wanted = seeds.select(F.col("seed").alias("file_path")).union(spark.range(1).select(F.lit(-1).cast("long")))
-    return graph.risk_context(wanted, files, imports, 3)
-
-
-@query("risk_context_full", ORACLES["risk_context"].replace("t.length < 3", "t.length < 5"))
-def risk_context_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Five hops."""
     imports, seeds, files = tables(spark, sf, "imports", "seeds", "files")
     wanted = seeds.select(F.col("seed").alias("file_path")).union(spark.range(1).select(F.lit(-1).cast("long")))
     return graph.risk_context(wanted, files, imports)
@@ -185,19 +164,10 @@ def test_map(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reachable_tests(imports, seeds.withColumnRenamed("seed", "file_path"), F.col("node") % 4 == 1)
 
 
-@query("commit_impact", "+c AS (SELECT DISTINCT commit_hash, file_path FROM modified WHERE commit_hash % 100 = 7) SELECT c.commit_hash, i.src AS affected, bool_or(i.src % 4 = 1) AS is_test, count(*) AS via FROM c JOIN imports i ON i.dst = c.file_path GROUP BY 1, 2", "modified", "imports")
+@query("commit_impact", "+c AS (SELECT DISTINCT commit_hash, file_path FROM modified) SELECT c.commit_hash, i.src AS affected, bool_or(i.src % 4 = 1) AS is_test, count(*) AS via FROM c JOIN imports i ON i.dst = c.file_path GROUP BY 1, 2", "modified", "imports")
 def commit_impact(spark: SparkSession, sf: str) -> DataFrame:
     """Direct dependents of the files that commits changed, and whether they are tests."""
     modified, imports = tables(spark, sf, "modified", "imports")
-    changed = modified.where("commit_hash % 100 = 7").select("commit_hash", "file_path").distinct()
-    met = changed.join(imports.withColumnsRenamed({"dst": "file_path", "src": "affected"}), "file_path")
-    return met.groupBy("commit_hash", "affected").agg(F.bool_or(F.col("affected") % 4 == 1).alias("is_test"), F.count(F.lit(1)).alias("via"))
-
-
-@query("commit_impact_all", ORACLES["commit_impact"].replace(" WHERE commit_hash % 100 = 7", ""))
-def commit_impact_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Direct dependents of the files of every commit."""
-    modified, imports = tables(spark, sf, "modified", "imports")
     changed = modified.select("commit_hash", "file_path").distinct()
     met = changed.join(imports.withColumnsRenamed({"dst": "file_path", "src": "affected"}), "file_path")
     return met.groupBy("commit_hash", "affected").agg(F.bool_or(F.col("affected") % 4 == 1).alias("is_test"), F.count(F.lit(1)).alias("via"))
@@ -219,10 +189,10 @@ def external_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     return imports.join(files.where("file_path % 5 <> 0"), F.col("dst") == F.col("file_path"), "left_anti").select(F.col("dst").alias("module")).distinct()
 
 
-@query("call_graph", "WITH s AS (SELECT conv_id * 100 + turn AS id, split_part(text, ' ', 1) AS name, text AS body FROM conversations WHERE turn < 2) SELECT DISTINCT a.id AS caller, b.id AS callee FROM s a, s b WHERE a.id <> b.id AND b.name <> '' AND contains(a.body, b.name)")
+@query("call_graph", "WITH s AS (SELECT conv_id * 100 + turn AS id, split_part(text, ' ', 1) AS name, text AS body FROM conversations) SELECT DISTINCT a.id AS caller, b.id AS callee FROM s a, s b WHERE a.id <> b.id AND b.name <> '' AND contains(a.body, b.name)")
 def call_graph(spark: SparkSession, sf: str) -> DataFrame:
     (talk,) = tables(spark, sf, "conversations")
-    symbols = talk.where("turn < 2").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), F.col("text").alias("body"))
+    symbols = talk.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), F.col("text").alias("body"))
     return graph.call_edges(symbols)
 
 

@@ -102,10 +102,10 @@ def accessible_repositories(spark: SparkSession, sf: str) -> DataFrame:
     return rel.accessible(*tables(spark, sf, "repo_owners", "members", "acl"), _USER)
 
 
-@query("access_checks", "+p AS (SELECT o_custkey % 60 AS user_id, l_partkey AS repo_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 2 GROUP BY 1, 2) SELECT p.user_id, p.repo_id, coalesce(o.is_public, false) OR EXISTS (SELECT 1 FROM members m WHERE m.org_id = o.org_id AND m.user_id = p.user_id) OR EXISTS (SELECT 1 FROM acl a WHERE a.repo_id = p.repo_id AND a.user_id = p.user_id) AS allowed FROM p LEFT JOIN repo_owners o ON o.repo_id = p.repo_id", "repo_owners", "members", "acl")
+@query("access_checks", "+p AS (SELECT o_custkey % 60 AS user_id, l_partkey AS repo_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) SELECT p.user_id, p.repo_id, coalesce(o.is_public, false) OR EXISTS (SELECT 1 FROM members m WHERE m.org_id = o.org_id AND m.user_id = p.user_id) OR EXISTS (SELECT 1 FROM acl a WHERE a.repo_id = p.repo_id AND a.user_id = p.user_id) AS allowed FROM p LEFT JOIN repo_owners o ON o.repo_id = p.repo_id", "repo_owners", "members", "acl")
 def access_checks(spark: SparkSession, sf: str) -> DataFrame:
     lines, orders, owners, members, acl = tables(spark, sf, "lineitem", "orders", "repo_owners", "members", "acl")
-    pairs = lines.where("l_linenumber = 2").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") % 60).alias("user_id"), F.col("l_partkey").alias("repo_id")).distinct()
+    pairs = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") % 60).alias("user_id"), F.col("l_partkey").alias("repo_id")).distinct()
     return rel.access_of(pairs, owners, members, acl)
 
 
@@ -184,28 +184,17 @@ def audit_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return rel.audit_rows(tables(spark, sf, "events")[0], F.struct("user_id", "event_type")).select("event_id", "metadata")
 
 
-_PART = "(SELECT p_size AS grp, CASE WHEN p_retailprice < 960 THEN 'unhealthy' WHEN p_retailprice < 990 THEN 'degraded' ELSE 'healthy' END AS status FROM part WHERE p_partkey % 9 = 0)"
+_PART = "(SELECT p_size AS grp, CASE WHEN p_retailprice < 960 THEN 'unhealthy' WHEN p_retailprice < 990 THEN 'degraded' ELSE 'healthy' END AS status FROM part)"
 
 
 @query("health_rollup", f"SELECT grp, CASE WHEN count(*) FILTER (status <> 'healthy') = 0 THEN 'healthy' WHEN count(*) FILTER (status <> 'healthy') < count(*) THEN 'degraded' ELSE 'unhealthy' END AS health, CASE max(CASE status WHEN 'healthy' THEN 0 WHEN 'degraded' THEN 1 ELSE 2 END) WHEN 0 THEN 'healthy' WHEN 1 THEN 'degraded' ELSE 'unhealthy' END AS worst FROM {_PART} GROUP BY grp")
 def health_rollup(spark: SparkSession, sf: str) -> DataFrame:
     (part,) = tables(spark, sf, "part")
     price = F.col("p_retailprice")
-    parts = part.where("p_partkey % 9 = 0").select(F.col("p_size").alias("grp"), F.when(price < 960, "unhealthy").when(price < 990, "degraded").otherwise("healthy").alias("status"))
+    parts = part.select(F.col("p_size").alias("grp"), F.when(price < 960, "unhealthy").when(price < 990, "degraded").otherwise("healthy").alias("status"))
     return rel.health(parts, "grp").join(rel.worst_health(parts, "grp").withColumnRenamed("health", "worst"), "grp")
 
 
-@query("health_rollup_all", ORACLES["health_rollup"].replace(" WHERE p_partkey % 9 = 0", ""))
-def health_rollup_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every part."""
-    price = F.col("p_retailprice")
-    parts = tables(spark, sf, "part")[0].select(F.col("p_size").alias("grp"), F.when(price < 960, "unhealthy").when(price < 990, "degraded").otherwise("healthy").alias("status"))
-    return rel.health(parts, "grp").join(rel.worst_health(parts, "grp").withColumnRenamed("health", "worst"), "grp")
-
-
-# --- aggregates -----------------------------------------------------------------------------------------------------
-
-
 @query("cache_hit_rate", "SELECT user_id % 10 AS ns, coalesce(sum((event_type = 'view')::INT) / nullif(sum((event_type IN ('view', 'click'))::INT), 0), 0)::DOUBLE AS hit_rate FROM events GROUP BY 1")
 def cache_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     hits, both = F.count_if(F.col("event_type") == "view"), F.count_if(F.col("event_type").isin("view", "click"))

@@ -95,10 +95,9 @@ def confident_results(spark: SparkSession, sf: str) -> DataFrame:
     return _assembled(spark, sf).where("confidence >= 0.4").select("file_path", F.round("confidence", 6).alias("confidence"))
 
 
-@query("budget_trim", "WITH r AS (SELECT doc_id, length(text) + length(source) + 200 AS cost FROM documents ORDER BY doc_id LIMIT 60), s AS (SELECT *, sum(cost) OVER (ORDER BY doc_id) AS running_cost FROM r) SELECT doc_id, running_cost::BIGINT AS running_cost FROM s WHERE running_cost <= 65536")
+@query("budget_trim", "WITH r AS (SELECT doc_id, coalesce(length(text), 0) + coalesce(length(source), 0) + 200 AS cost FROM documents), s AS (SELECT *, sum(cost) OVER (ORDER BY doc_id) AS running_cost FROM r) SELECT doc_id, running_cost::BIGINT AS running_cost FROM s WHERE running_cost <= 65536")
 def budget_trim(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables(spark, sf, "documents")[0].orderBy("doc_id").limit(60)
-    return search.trim_to_budget(docs, 16384, ("doc_id",), "text", "source").select("doc_id", "running_cost")
+    return search.trim_to_budget(tables(spark, sf, "documents")[0], 16384, ("doc_id",), "text", "source").select("doc_id", "running_cost")
 
 
 @query("first_of_each", "SELECT lang, source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
@@ -181,20 +180,12 @@ def _any(patterns: tuple[str, ...]) -> str:
     return " OR ".join(f"regexp_matches(q, '(?i){p}')" for p in patterns)
 
 
-@query("query_validation", f"WITH d AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN text WHEN 1 THEN ' ' WHEN 2 THEN left(text, 40) || '; drop table x' WHEN 3 THEN '<script>' || left(text, 9) || '</script>' WHEN 4 THEN left(replace(text, chr(10), chr(9)), 60) ELSE left(text, 30) END AS q FROM conversations) SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'empty' WHEN length(q) > 500 THEN 'too_long' WHEN {_any(text.SQL_PATTERNS)} THEN 'sql' WHEN {_any(text.SCRIPT_PATTERNS)} THEN 'script' ELSE 'ok' END AS status, trim(regexp_replace(q, '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g')) AS cleaned FROM d")
+@query("query_validation", f"WITH d AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN text WHEN 1 THEN ' ' WHEN 2 THEN text || '; drop table x' WHEN 3 THEN '<script>' || text || '</script>' WHEN 4 THEN replace(text, chr(10), chr(9)) ELSE text END AS q FROM conversations) SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'empty' WHEN length(q) > 500 THEN 'too_long' WHEN {_any(text.SQL_PATTERNS)} THEN 'sql' WHEN {_any(text.SCRIPT_PATTERNS)} THEN 'script' ELSE 'ok' END AS status, trim(regexp_replace(q, '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g')) AS cleaned FROM d")
 def query_validation(spark: SparkSession, sf: str) -> DataFrame:
     (talk,) = tables(spark, sf, "conversations")
     t, step = F.col("text"), F.col("conv_id") % 6
-    q = F.when(step == 0, t).when(step == 1, " ").when(step == 2, F.concat(F.left(t, F.lit(40)), F.lit("; drop table x"))).when(step == 3, F.concat(F.lit("<script>"), F.left(t, F.lit(9)), F.lit("</script>"))).when(step == 4, F.left(F.translate(t, "\n", "\t"), F.lit(60))).otherwise(F.left(t, F.lit(30)))
-    return talk.select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", text.check_query(F.col("q")).alias("status"), text.clean_query(F.col("q")).alias("cleaned"))
-
-
-@query("query_validation_all", ORACLES["query_validation"].replace("left(text, 40)", "text").replace("left(text, 9)", "text").replace("left(replace(text, chr(10), chr(9)), 60)", "replace(text, chr(10), chr(9))").replace("left(text, 30)", "text"))
-def query_validation_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole texts."""
-    t, step = F.col("text"), F.col("conv_id") % 6
     q = F.when(step == 1, " ").when(step == 2, F.concat(t, F.lit("; drop table x"))).when(step == 3, F.concat(F.lit("<script>"), t, F.lit("</script>"))).when(step == 4, F.translate(t, "\n", "\t")).otherwise(t)
-    return tables(spark, sf, "conversations")[0].select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", text.check_query(F.col("q")).alias("status"), text.clean_query(F.col("q")).alias("cleaned"))
+    return talk.select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", text.check_query(F.col("q")).alias("status"), text.clean_query(F.col("q")).alias("cleaned"))
 
 
 @query("redacted_urls", "WITH p AS (SELECT page_id, 'at ' || url || ' from 10.0.' || page_id % 255 || '.7 key ' || md5(url) AS m FROM pages) SELECT page_id, regexp_replace(regexp_replace(regexp_replace(m, '/[\\w/.-]+', '[PATH]', 'g'), '\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b', '[IP]', 'g'), '\\b[a-zA-Z0-9]{32,}\\b', '[REDACTED]', 'g') AS message FROM p")
@@ -254,8 +245,8 @@ def text_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 @query("naming_conventions", "WITH n AS (SELECT lang, source, list(split_part(text, ' ', 1)) AS c, list(split_part(text, ' ', 2)) AS f FROM documents GROUP BY lang, source) SELECT lang, source, CASE WHEN list_bool_and(list_transform(list_filter(c, lambda x: x <> ''), lambda x: regexp_matches(x[1:1], '\\p{Lu}'))) THEN 'PascalCase (UpperCamelCase)' ELSE 'Mixed case' END AS classes, CASE WHEN coalesce(list_bool_and(list_transform(list_filter(f, lambda x: length(x) > 3), lambda x: contains(x, '_'))), true) THEN 'snake_case' WHEN coalesce(list_bool_and(list_transform(list_filter(f, lambda x: x <> ''), lambda x: regexp_matches(x, '^\\p{Ll}.*\\p{Lu}'))), true) THEN 'camelCase' ELSE 'Mixed case' END AS functions FROM n")
 def naming_conventions(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables(spark, sf, "documents")[0]
-    lists = docs.groupBy("lang", "source").agg(*(F.collect_list(F.split_part("text", F.lit(" "), F.lit(i))).alias(n) for i, n in ((1, "c"), (2, "f"))))
-    return lists.select("lang", "source", text.class_naming(F.col("c")).alias("classes"), text.function_naming(F.col("f")).alias("functions"))
+    first, second = (F.split_part("text", F.lit(" "), F.lit(i)) for i in (1, 2))
+    return docs.groupBy("lang", "source").agg(text.class_naming(first).alias("classes"), text.function_naming(second).alias("functions"))
 
 
 _SCORE = "2 * (n_chars % 17) + n_chars % 5 + least(n_chars // 10, 50) + 5 * (n_chars % 3)"
@@ -301,11 +292,14 @@ def response_rows(spark: SparkSession, sf: str) -> DataFrame:
     return search.for_response(rows).select("doc_id", "confidence", "evidence.commit_sha", F.to_json("metadata").alias("metadata"))
 
 
-@query("conventions", "WITH s AS (SELECT CASE source WHEN 'src0' THEN 'python' WHEN 'src1' THEN 'go' ELSE 'other' END AS language, * FROM documents) SELECT language, 'PascalCase (UpperCamelCase)' AS classes, CASE language WHEN 'python' THEN 'Uses try/except blocks,Raises custom exceptions' WHEN 'go' THEN 'Returns error as second value,Checks if err != nil' ELSE '' END AS error_handling, CASE WHEN count(*) FILTER (lang = 'fr' AND language = 'python') > 0 THEN 'Imports grouped by type,' ELSE '' END || 'Alphabetically sorted within groups' AS import_ordering FROM s GROUP BY 1")
+@query("conventions", "WITH s AS (SELECT CASE source WHEN 'src0' THEN 'python' WHEN 'src1' THEN 'go' ELSE 'other' END AS language, split_part(text, ' ', 1) AS w, * FROM documents), n AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN CASE source WHEN 'src1' THEN w ELSE upper(w[1:1]) || w[2:] END END AS c, CASE WHEN doc_id % 2 = 1 THEN w || CASE source WHEN 'src1' THEN 'Of' ELSE '_of' END END AS f FROM s) SELECT language, CASE WHEN count(c) = 0 THEN 'Unknown' WHEN coalesce(bool_and(regexp_matches(c[1:1], '\\p{Lu}')) FILTER (c <> ''), true) THEN 'PascalCase (UpperCamelCase)' ELSE 'Mixed case' END AS classes, CASE WHEN count(f) = 0 THEN 'Unknown' WHEN coalesce(bool_and(contains(f, '_')) FILTER (length(f) > 3), true) THEN 'snake_case' WHEN coalesce(bool_and(regexp_matches(f, '^\\p{Ll}.*\\p{Lu}')) FILTER (f <> ''), true) THEN 'camelCase' ELSE 'Mixed case' END AS functions, CASE language WHEN 'python' THEN 'Uses try/except blocks,Raises custom exceptions' WHEN 'go' THEN 'Returns error as second value,Checks if err != nil' ELSE '' END AS error_handling, CASE WHEN count(*) FILTER (lang = 'fr' AND language = 'python') > 0 THEN 'Imports grouped by type,' ELSE '' END || 'Alphabetically sorted within groups' AS import_ordering FROM n GROUP BY 1")
 def conventions(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables(spark, sf, "documents")[0]
     language = F.when(F.col("source") == "src0", "python").when(F.col("source") == "src1", "go").otherwise("other")
-    symbols = docs.select(language.alias("language"), F.lit("Shape").alias("name"), F.lit("class").alias("symbol_type"))
+    word, go, is_class = F.split_part("text", F.lit(" "), F.lit(1)), F.col("source") == "src1", F.col("doc_id") % 2 == 0
+    as_class = F.when(go, word).otherwise(F.concat(F.upper(F.left(word, F.lit(1))), F.substring(word, 2, 1 << 30)))
+    as_function = F.concat(word, F.when(go, "Of").otherwise("_of"))
+    symbols = docs.select(language.alias("language"), F.when(is_class, as_class).otherwise(as_function).alias("name"), F.when(is_class, "class").otherwise("function").alias("symbol_type"))
     importing = docs.where("lang = 'fr'").select(language.alias("language")).where("language = 'python'")
     out = rules.conventions(symbols, importing)
-    return out.select("language", "classes", F.array_join("error_handling", ",").alias("error_handling"), F.array_join("import_ordering", ",").alias("import_ordering"))
+    return out.select("language", "classes", "functions", F.array_join("error_handling", ",").alias("error_handling"), F.array_join("import_ordering", ",").alias("import_ordering"))

@@ -1,4 +1,4 @@
-"""The queries that read whole tables, where the ones of the same name without the suffix read a part."""
+"""Queries read whole tables and whole texts."""
 
 from __future__ import annotations
 
@@ -15,15 +15,15 @@ def values(df):
 def test_every_file_and_commit_counts(spark, sf):
     modified, imports = tables(spark, sf, "modified", "imports")
     lines = modified.where("lo <= 40 AND hi >= 20")
-    assert values(QUERIES["git_blame_all"](spark, sf).select("file_path")) == values(lines.select("file_path"))
+    assert values(QUERIES["git_blame"](spark, sf).select("file_path")) == values(lines.select("file_path"))
     met = modified.join(imports, F.col("file_path") == F.col("dst"))
-    assert values(QUERIES["commit_impact_all"](spark, sf).select("commit_hash")) == values(met.select("commit_hash"))
+    assert values(QUERIES["commit_impact"](spark, sf).select("commit_hash")) == values(met.select("commit_hash"))
 
 
 def test_every_part_and_whole_texts_count(spark, sf):
     part, talk = tables(spark, sf, "part", "conversations")
-    assert values(QUERIES["health_rollup_all"](spark, sf).select("grp")) == values(part.select("p_size"))
-    cleaned = QUERIES["query_validation_all"](spark, sf).where("conv_id % 6 = 5").select(F.length("cleaned"))
+    assert values(QUERIES["health_rollup"](spark, sf).select("grp")) == values(part.select("p_size"))
+    cleaned = QUERIES["query_validation"](spark, sf).where("conv_id % 6 = 5").select(F.length("cleaned"))
     assert max(values(cleaned)) > 30
 
 
@@ -39,4 +39,4 @@ def test_risk_counts_five_hops(spark, sf):
             trails = [(src, used | {(src, node)}) for node, used in trails for src in back.get(node, ()) if (src, node) not in used]
             found |= {(node, length) for node, _ in trails}
         want[seed] = len(found)
-    assert {r["file_path"]: r["downstream_count"] for r in QUERIES["risk_context_full"](spark, sf).collect()} == want
+    assert {r["file_path"]: r["downstream_count"] for r in QUERIES["risk_context"](spark, sf).collect()} == want
