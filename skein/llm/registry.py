@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from skein.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, suffix_dedup, token_count, token_store, toxicity
+from skein.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, repair, suffix_dedup, token_count, token_store, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_repair": repair.op11_repair,
     "pipeline": pipeline,
 }
 ORACLES = {
