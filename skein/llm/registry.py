@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from skein.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, repair, suffix_dedup, token_count, token_store, toxicity
+from skein.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, prefix_trie, repair, suffix_dedup, token_count, token_store, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -22,10 +22,12 @@ QUERIES = {
     "op9_token_counts": token_count.op9_token_counts,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_repair": repair.op11_repair,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "pipeline": pipeline,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_license_scan": license_scan.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }

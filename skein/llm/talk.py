@@ -42,3 +42,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         rows += batch.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC of a text of ASCII characters, in DuckDB's SQL."""
+    step = "list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)), lambda acc, x: {step}))"
