@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from skein.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, prefix_trie, repair, suffix_dedup, token_count, token_store, toxicity
+from skein.llm import decontaminate, exact_dedup, langid, license_scan, minhash, mixing, prefix_trie, quality, repair, suffix_dedup, token_count, token_store, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_repair": repair.op11_repair,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_quality": quality.op13_quality,
     "pipeline": pipeline,
 }
 ORACLES = {
