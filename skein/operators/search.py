@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.graph import centrality
-from skein.sources.scratch import cut
 
 # fixed values: weights of certainty, rerank score and centrality, without and with reranking
 WEIGHTS = {"tested": {False: (0.5, 0.0, 0.5), True: (0.5, 0.35, 0.15)}, "as_coded": {False: (0.5, 0.0, 0.15), True: (0.5, 0.35, 0.5)}}
+#: Of Okapi BM25.
 K1, B = 1.2, 0.75
 RESULT_OVERHEAD = 200
 
@@ -21,7 +21,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))  # null for a vector without a direction
 
 
 def where_all(df: DataFrame, **wanted) -> DataFrame:
@@ -43,31 +43,9 @@ def vector_search(units: DataFrame, query: list[float], limit: int = 10, offset:
     return hits.select(id_col, *(c for c in units.columns if c not in (id_col, vector_col)), "certainty", (1 - F.col("cos")).alias("distance"))
 
 
-def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """Okapi BM25 scores of the documents that hold a query word.
-
-    One pass over the texts stores lengths and the counts of query words only, so no posting list of the corpus is ever
-    built; totals and scores read that table. Words are runs of a-z and digits of the lower-cased text. A query without
-    words finds nothing.
-    """
-    terms = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
-    if not terms:
-        return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
-
-    def times(term: str) -> Column:
-        return F.size("words") - F.size(F.array_remove("words", term))
-
-    words = docs.select(id_col, F.split(F.lower(F.col(text_col)), "[^a-z0-9]+").alias("words"))
-    counts = cut(words.select(id_col, (F.size("words") - times("")).alias("n"), *(times(t).alias(f"t{i}") for i, t in enumerate(terms))))
-    totals = counts.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
-    rows = counts.where(" OR ".join(f"t{i} > 0" for i in range(len(terms)))).join(F.broadcast(totals))  # one row
-
-    def part(i: int) -> Column:
-        tf, df = F.col(f"t{i}"), F.col(f"d{i}")
-        idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
-        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-
-    return rows.select(id_col, reduce(lambda x, y: x + y, map(part, range(len(terms)))).alias("score"))
+def words_of(text: Column) -> Column:
+    """Runs of a-z and digits of the lower-cased text, with empty words where it begins or ends otherwise."""
+    return F.split(F.lower(text), "[^a-z0-9]+")
 
 
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, alpha: float = 0.5, limit: int = 10, constant: int = 60, id_col: str = "doc_id") -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.sources.scratch import cut
+
 # --- fixed values ---------------------------------------------------------------------------------------------------
 #: tier: requests per hour, per minute, burst in 10 seconds
 TIERS = {"free": (100, 10, 5), "developer": (1000, 50, 20), "team": (10000, 200, 100), "enterprise": (100000, 2000, 500)}
@@ -133,13 +135,22 @@ def firing(samples: DataFrame, condition: Column, hold_s: int, keys: tuple[str,
 
 
 def nearest_rank(values: DataFrame, quantiles: tuple[float, ...], value: str = "value") -> DataFrame:
-    """Sorted values' element int(n * q), from 0, without an order of all rows in one task: equal values are counted first."""
-    indexed = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    total = indexed.agg(F.sum("c").alias("n"))
-    upto = indexed.withColumn("upto", F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    """Sorted values' element int(n * q), from 0: equal values are counted first, then placed in ranges of the values.
+
+    Each range's count tells where its values begin, so every wanted place lies in one range, and only that range is put in order.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    ranged = cut(counted.repartitionByRange(value).withColumn("part", F.spark_partition_id()))  # a count of each part and its rows must see the same parts
+    sizes = ranged.groupBy("part").agg(F.sum("c").alias("size"))
+    begins = sizes.withColumn("begin", F.sum("size").over(Window.orderBy("part")) - F.col("size"))  # a row for each partition
+    total = ranged.agg(F.sum("c").alias("n"))
     wanted = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.least(F.floor(F.col("n") * q), F.col("n") - 1).alias("k")) for q in quantiles))).alias("w")
     targets = total.select(wanted).select("w.q", "w.k")
-    return upto.join(F.broadcast(targets), (F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k"))).select(F.col("q").alias("quantile"), F.col(value).alias("value"))
+    found = begins.join(F.broadcast(targets), (F.col("k") >= F.col("begin")) & (F.col("k") < F.col("begin") + F.col("size"))).select("part", "q", (F.col("k") - F.col("begin")).alias("k"))
+    here = ranged.join(F.broadcast(found.select("part").distinct()), "part")  # no more rows than quantiles
+    upto = here.withColumn("upto", F.sum("c").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    met = upto.join(F.broadcast(found), "part").where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k")))
+    return met.select(F.col("q").alias("quantile"), F.col(value).alias("value"))
 
 
 def usage_totals(usage: DataFrame, limit: int, user: str = "user_id") -> DataFrame:

@@ -6,10 +6,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.sources.scratch import cut
+from skein.operators.index import KeywordIndex, VectorIndex
+from skein.sources.scratch import cut, shared_folder
 
 _EDGES = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
@@ -46,7 +48,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 #: Views that stand for tables which ingestion writes: built once in a session, as Parquet.
 STORED = ("imports", "calls", "belongs_to", "modified")
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], object] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -61,6 +63,24 @@ def _needed(names: tuple[str, ...]) -> list[str]:
     return out
 
 
+def _needed_tables(name: str) -> tuple[str, ...]:
+    """The driver tables under a view."""
+    return tuple(sorted({t for v in _needed((name,)) for t in VIEWS[v][0] if t in TABLES}))
+
+
+def _version(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> str:
+    """The tables' paths, lengths and times of change: what is stored for one state of them is not taken for another."""
+    told = []
+    for name in names:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = system.listFiles(where, True)
+        while found.hasNext():
+            file = found.next()
+            told.append(f"{file.getPath()} {file.getLen()} {file.getModificationTime()}")
+    return "\n".join(sorted(told))
+
+
 def with_views(*names: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in _needed(names))
 
@@ -70,7 +90,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in STORED:
-        key = (spark.sparkContext.applicationId, sf_dir, name)
+        key = (spark.sparkContext.applicationId, _version(spark, sf_dir, _needed_tables(name)), name)
         if key not in _stored:
             _stored[key] = cut(_view(spark, sf_dir, name))
         return _stored[key]
@@ -86,5 +106,24 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(bound, **{r: table(spark, sf_dir, r) for r in reads})
 
 
+def _built(spark: SparkSession, sf_dir: str, name: str, build):
+    """An index over a table's present files, built once in a session; a table written anew is indexed anew."""
+    key = (spark.sparkContext.applicationId, _version(spark, sf_dir, (INDEXED[name],)), name)
+    if key not in _stored:
+        _stored[key] = build(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _stored[key]
+
+
+INDEXED = {"keyword_index": "documents", "vector_index": "embeddings"}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    return _built(spark, sf_dir, "keyword_index", lambda root: KeywordIndex(spark, root).add(table(spark, sf_dir, "documents")))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    return _built(spark, sf_dir, "vector_index", lambda root: VectorIndex(spark, root).build(table(spark, sf_dir, "embeddings")))
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [table(spark, sf_dir, n) for n in names]

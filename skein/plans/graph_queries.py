@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import graph
+from skein.operators import graph, trails
 from skein.plans.adapters import tables, with_views
 
 QUERIES: dict = {}
@@ -83,13 +83,13 @@ def _shown(paths: DataFrame) -> DataFrame:
 @query("call_chains", _PATHS.format(seeds="call_seeds", edges="calls", more="", trail=_TRAIL.format(edges="calls", seeds="call_seeds", **_UP, n=10)[1:]), "calls", "call_seeds")
 def call_chains(spark: SparkSession, sf: str) -> DataFrame:
     calls, seeds = tables(spark, sf, "calls", "call_seeds")
-    return _shown(graph.paths_between(calls, _pairs(calls, seeds)))
+    return _shown(trails.paths_between(calls, _pairs(calls, seeds)))
 
 
 @query("dependency_paths", _PATHS.format(seeds="seeds", edges="imports", more=", length AS imports_on_path", trail=_TRAIL.format(**_IMPORTS, **_UP, n=10)[1:]), "imports", "seeds")
 def dependency_paths(spark: SparkSession, sf: str) -> DataFrame:
     imports, seeds = tables(spark, sf, "imports", "seeds")
-    return _shown(graph.paths_between(imports, _pairs(imports, seeds), relation="IMPORTS")).withColumn("imports_on_path", F.size("relations")).drop("relations")
+    return _shown(trails.paths_between(imports, _pairs(imports, seeds), relation="IMPORTS")).withColumn("imports_on_path", F.size("relations")).drop("relations")
 
 
 @query("service_topology", "SELECT a.service AS source_service, b.service AS target_service, count(*) AS import_count FROM imports JOIN belongs_to a ON a.file_path = src JOIN belongs_to b ON b.file_path = dst WHERE a.service <> b.service GROUP BY 1, 2", "imports", "belongs_to")

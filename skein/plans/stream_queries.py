@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.sources.scratch import cut, shared_folder
-from skein.streaming import bus
+from skein.sources.scratch import shared_folder
+from skein.streaming import bus, keyed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +41,7 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, batch_id: int) -> None:
         if mode == "complete":
             batch.write.mode("overwrite").parquet(f"{folder}/out")
-        elif not batch.isEmpty():
+        else:  # one action only, since each would run the state's step again
             batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")  # once for each batch, also when it is repeated
 
     started = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
@@ -96,5 +96,21 @@ def bus_reindex(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("open_incidents", f"WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS repo_id, {_KIND} AS kind, ts, event_id FROM events WHERE event_type IN ('error', 'signup')), l AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, kind DESC, event_id DESC) AS r FROM e) SELECT repo_id, ts AS since FROM l WHERE r = 1 AND kind = 'incident_intake'")
 def open_incidents(spark: SparkSession, sf: str) -> DataFrame:
-    events = cut(_drained(bus.subscribe(spark, _bus(spark, sf)), "append"))
-    return bus.open_incidents(events).select("repo_id", F.col("since").cast("timestamp_ntz").alias("since"))
+    with keyed.state_store(spark):
+        changes = _drained(keyed.incidents(bus.subscribe(spark, _bus(spark, sf), per_trigger=4)), "update")
+    return keyed.open_incidents(changes).select("repo_id", F.col("since").cast("timestamp_ntz").alias("since"))
+
+
+@query("stream_breaker")
+def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
+    """The breaker by timers; tests hold it against the plain rule. A late event of no user moves the watermark past all others."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    calls = events.select(F.col("event_id"), (F.col("user_id") % 20).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    folder = f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}"
+    calls.write.parquet(folder)
+    end = calls.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast(calls.schema["user_id"].dataType).alias("user_id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(False).alias("failed"))
+    end.write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(calls.schema).parquet(folder)
+    with keyed.state_store(spark):
+        out = _drained(keyed.breaker(stream, most=3, reset_s=3600), "append")
+    return out.where("key <> ''").select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), F.col("at").cast("timestamp_ntz").alias("at"), "state", "refused")

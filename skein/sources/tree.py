@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import parse_file, skip_file
+from skein.operators.graph import ancestors
 
 # --- fixed values ---------------------------------------------------------------------------------------------------
 SOURCE_SUFFIXES = ("py", "pyi", "js", "jsx", "mjs", "cjs", "ts", "tsx", "go", "java")
@@ -67,10 +68,10 @@ def manifests(tree: DataFrame) -> DataFrame:
 
 
 def service_files(services: DataFrame, tree: DataFrame) -> DataFrame:
-    """(name, root_path, path) of source files under a service's root."""
+    """(name, root_path, path) of source files under a service's root: a file meets the services at its folders by an equi-join."""
     files = tree.where(F.substring_index("path", ".", -1).isin(*SERVICE_SUFFIXES) & F.contains("path", F.lit("."))).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, MANIFEST_SKIPPED)))).select("path")
-    under = (F.col("root_path") == "") | F.startswith("path", F.concat("root_path", F.lit("/")))
-    return services.select("name", "root_path").join(files, under)
+    folders = files.withColumn("root_path", F.explode(ancestors(F.col("path"))))
+    return services.select("name", "root_path").join(folders, "root_path").select("name", "root_path", "path")
 
 
 def changed_since(tree: DataFrame, known: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,36 +82,6 @@ def unique_events(stream: DataFrame, id_col: str = "event_id") -> DataFrame:
     return stream.dropDuplicatesWithinWatermark([id_col])
 
 
-INCIDENT = "repo_id string, status string, snapshot string, since timestamp"
-
-
-def incidents(stream: DataFrame) -> DataFrame:
-    """The open incident of each repository: an intake stores its snapshot, a resolution clears it; every change is a row."""
-
-    def step(key, batches, state):
-        events = pd.concat(list(batches)).sort_values(["timestamp", "event_type"])
-        out = []
-        for e in events.itertuples():
-            if e.event_type == "incident_intake":
-                state.update((str(e.data), e.timestamp.to_pydatetime()))
-                out.append((key[0], "open", str(e.data), e.timestamp))
-            elif state.exists:
-                snapshot, since = state.get
-                state.remove()
-                out.append((key[0], "resolved", snapshot, since))
-        yield pd.DataFrame(out, columns=["repo_id", "status", "snapshot", "since"])
-
-    flat = stream.where(F.col("event_type").isin("incident_intake", "incident_resolved")).select("repo_id", "event_type", "timestamp", F.to_json("data").alias("data"))
-    return flat.groupBy("repo_id").applyInPandasWithState(step, INCIDENT, "snapshot string, since timestamp", "append", "NoTimeout")
-
-
-def open_incidents(events: DataFrame) -> DataFrame:
-    """The same from a table of events: the last event of a repository wins."""
-    some = events.where(F.col("event_type").isin("incident_intake", "incident_resolved"))
-    last = some.groupBy("repo_id").agg(F.max(F.struct("timestamp", "event_type", F.to_json("data").alias("snapshot"))).alias("e"))
-    return last.where("e.event_type = 'incident_intake'").select("repo_id", "e.snapshot", F.col("e.timestamp").alias("since"))
-
-
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there into a table in memory; for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

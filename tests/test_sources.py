@@ -171,11 +171,3 @@ def test_dispatch(spark, tmp_path):
     assert dispatcher.failures[0][1] == "github_push"
     with pytest.raises(ValueError):
         dispatcher.on("nothing", print)
-
-
-def test_stateful_incidents(spark, tmp_path):
-    at = [datetime(2024, 1, 1, 0, m) for m in range(4)]
-    rows = spark.createDataFrame([("incident_intake", "r1", at[0]), ("incident_resolved", "r1", at[1]), ("incident_intake", "r2", at[2]), ("incident_resolved", "r3", at[3])], "k string, repo string, at timestamp")
-    bus.emit(bus.to_event(rows, F.col("k"), F.col("repo"), F.col("at"), F.create_map(F.lit("x"), F.lit("1"))), str(tmp_path / "bus"))
-    out = bus.drain(bus.incidents(bus.subscribe(spark, str(tmp_path / "bus"))), "incidents_out")
-    assert sorted((r["repo_id"], r["status"]) for r in out.collect()) == [("r1", "open"), ("r1", "resolved"), ("r2", "open")]
