@@ -5,7 +5,9 @@ word of a fixed list that follows a number. A word that begins a sentence may be
 differ in case and line breaks, so texts have three readings: words as they are, names where no sentence begins, and names
 wherever a capital is. Where numbers hold points or commas, texts are also read with such numbers as one word each.
 
-1. The windows of ``WINDOW`` tokens of all items, by reading, are a table with their canonical words and a hash of these.
+1. The windows of ``WINDOW`` tokens of all items, by reading, are a table with their canonical words and a hash of these. A window with
+   placeholders needs ``LITERAL`` words that are none, since a row of numbers or a list of names says nothing about where it is from;
+   as it is written, any window counts.
 2. A pass over the documents makes their windows and lets through those whose hash may be in that table, told by a Bloom filter that is
    made from the table in Spark and has at most ``FILTER_BITS`` bits, however many items there are.
 3. What is left is joined with the table on hash and canonical words, so words decide. Equal texts are judged once.
@@ -37,7 +39,9 @@ from pyspark.sql import functions as F
 from skein.llm import textbytes as tb
 from skein.llm.storage import Scratch
 
-WINDOW, MIN_WORDS, LEAST_WORDS = 8, 12, 5
+WINDOW, MIN_WORDS, LEAST_WORDS, LITERAL = 8, 12, 5, 2
+#: The reading of words as they are.
+WRITTEN = 1
 #: Most bits of the filter (32 MB), bits for each window where that is less, and probes.
 FILTER_BITS, BITS_PER_WINDOW, PROBES = 1 << 28, 16, 3
 # fixed values: unit words that follow a number
@@ -113,6 +117,9 @@ class Tokens:
         told: dict[tuple[int, int], int] = {}
         for reading, own in enumerate(hashes):
             new = whole & np.all([own != other for other in hashes[:reading]], axis=0) if reading else whole
+            if reading != WRITTEN:
+                literal = np.concatenate([[0], np.cumsum(self.kinds[reading] == 0)])
+                new = new & (literal[size:] - literal[:-size] >= LITERAL)
             at = np.flatnonzero(new)
             for i in at[wanted(own[at])].tolist():
                 told[i, reading] = sum(1 << r for r in range(reading, READINGS) if hashes[r][i] == own[i])
@@ -266,7 +273,7 @@ def _aligned(rows: list[dict]) -> tuple[int, bool]:
 
 
 def _judge(batches):
-    """Rows sorted by text and item; those of one pair are held together."""
+    """Rows sorted by text, item and distance; those of one distance are held together, no more than the text has words."""
     key, held = None, []
 
     def judged() -> Iterator[pa.RecordBatch]:
@@ -276,9 +283,9 @@ def _judge(batches):
 
     for batch in batches:
         for row in batch.to_pylist():
-            if (pair := (row["text_key"], row["item"], row["joined"])) != key:
+            if (line := (row["text_key"], row["item"], row["joined"], row["here"] - row["there"])) != key:
                 yield from judged() if held else ()
-                key, held = pair, []
+                key, held = line, []
             held.append(row)
     yield from judged() if held else ()
 
@@ -296,7 +303,7 @@ def find_items(texts: DataFrame, items: DataFrame, text_col: str = "text", item_
     hits = rows.mapInArrow(_probe(spark.sparkContext.broadcast(known)), HITS).dropDuplicates(["text_key", "joined", "size", "here", "hash"])
     met = scratch.keep(hits, "hits").join(windows, ["hash", "size", "joined", "canonical"]).withColumn("bits", F.col("doc_bits").bitwiseAND(F.col("item_bits"))).where("bits != 0")
     met = met.select("text_key", "item", "joined", "here", "there", "size", "n_item", "bits", "doc_words", "item_words", "doc_slots", "item_slots")
-    judged = met.repartition("text_key", "item").sortWithinPartitions("text_key", "item", "joined").mapInArrow(_judge, "text_key string, item string, n_words long, verbatim boolean")
+    judged = met.repartition("text_key", "item").sortWithinPartitions("text_key", "item", "joined", F.col("here") - F.col("there")).mapInArrow(_judge, "text_key string, item string, n_words long, verbatim boolean")
     found = judged.join(named.select("item", "item_id").distinct(), "item").groupBy("text_key")
     found = found.agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("n_words").alias("n_words"), F.max("verbatim").alias("verbatim"))
     return scratch.keep(found, "found")
