@@ -43,8 +43,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "members": (("customer",), "SELECT CAST(c_nationkey AS BIGINT) AS org_id, c_custkey AS user_id FROM customer WHERE c_acctbal > 0"),
     "repo_owners": (("part",), "SELECT p_partkey AS repo_id, p_partkey % 25 AS org_id, p_size % 10 = 0 AS is_public FROM part"),
     "acl": (("lineitem", "orders"), "SELECT DISTINCT o_custkey AS user_id, l_partkey AS repo_id, CASE WHEN l_returnflag = 'R' THEN 'admin' WHEN l_returnflag = 'A' THEN 'developer' ELSE 'viewer' END AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1"),
-    "traces": ((), """SELECT 1 AS trace_id, 'Traceback (most recent call last):\n  File "src/app.py", line 42, in handle\n  File "src/session.py", line 88, in <module>\n\n    at com.shop.Cart.add(Cart.java:17)\n    at render (src/view.js:9:21)\nValueError: bad' AS trace
- UNION ALL SELECT 2, '    at com.shop.Pay(Pay.java:3)\n\nFile "a b.py", line 7, in na_ve'"""),
+    "traces": (("documents",), """SELECT doc_id AS trace_id, 'Traceback (most recent call last):\n  File "src/' || source || '.py", line ' || CAST(n_chars % 97 + 1 AS STRING) || ', in handle\n  File "src/session.py", line 88, in <module>\n\n    at com.shop.Cart.add(Cart.java:' || CAST(doc_id AS STRING) || ')\n    at render (src/view.js:' || CAST(doc_id % 50 + 1 AS STRING) || ':21)\n' || text AS trace FROM documents"""),
 }
 #: Views that stand for tables which ingestion writes: built once in a session, as Parquet.
 STORED = ("imports", "calls", "belongs_to", "modified")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators import relational as rel
 from skein.operators import timewin as tw
 from skein.plans.adapters import tables, with_views
+from skein.sources import cache
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -195,6 +196,18 @@ def health_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rel.health(parts, "grp").join(rel.worst_health(parts, "grp").withColumnRenamed("health", "worst"), "grp")
 
 
+_OPS = "SELECT CAST(user_id % 4 AS VARCHAR) AS namespace, CASE WHEN event_type = 'error' AND user_id % 7 = 0 THEN NULL ELSE CAST(user_id % 97 AS VARCHAR) END AS key, CASE event_type WHEN 'view' THEN 'get' WHEN 'click' THEN 'set' WHEN 'purchase' THEN 'prewarm' WHEN 'error' THEN CASE WHEN user_id % 7 = 0 THEN 'flush' ELSE 'delete' END ELSE 'get' END AS op, event_type AS value, ts AS at, event_id AS seq FROM events"
+
+
+@query("cache_statistics", f"WITH o AS ({_OPS.replace(' AS at,', ' AS t,')}), g AS (SELECT *, count(*) FILTER (op = 'flush') OVER (PARTITION BY namespace ORDER BY t, seq) AS gen FROM o), n AS (SELECT namespace, max(gen) AS gen FROM g GROUP BY 1), m AS (SELECT TIMESTAMP '2024-02-01' AS t), a AS (SELECT namespace, key, op, t, seq, gen, false AS asked FROM g WHERE op <> 'flush' UNION ALL SELECT DISTINCT o.namespace, o.key, 'get', m.t, 4611686018427387904, n.gen, true FROM o JOIN n ON n.namespace = o.namespace, m WHERE o.key IS NOT NULL), h AS (SELECT *, last_value(CASE WHEN op <> 'get' THEN {{'op': op, 't': t}} END IGNORE NULLS) OVER (PARTITION BY namespace, key, gen ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM a), r AS (SELECT *, coalesce(held.op IN ('set', 'prewarm'), false) AND coalesce(epoch(t) - epoch(held.t) < CASE namespace WHEN '0' THEN 86400 WHEN '1' THEN 604800 WHEN '2' THEN 3600 END, true) AS hit FROM h) SELECT r.namespace, count(*) FILTER (op = 'get' AND NOT asked) AS gets, count(*) FILTER (op = 'get' AND NOT asked AND hit) AS hits, count(*) FILTER (op IN ('set', 'prewarm')) AS stored, count(*) FILTER (asked AND hit) AS live, (SELECT count(*) FROM o WHERE o.op = 'flush' AND o.namespace = r.namespace) AS flushes FROM r GROUP BY 1")
+def cache_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Operations made of the events; namespaces have times to live, the last one none."""
+    (events,) = tables(spark, sf, "events")
+    log = spark.sql(_OPS.replace("VARCHAR", "STRING").replace("FROM events", "FROM {events}"), events=events)
+    stats = cache.statistics(log, {"0": 86400, "1": 604800, "2": 3600}, F.lit("2024-02-01").cast("timestamp_ntz"))
+    return stats.select("namespace", "gets", "hits", "stored", "live", "flushes")
+
+
 @query("cache_hit_rate", "SELECT user_id % 10 AS ns, coalesce(sum((event_type = 'view')::INT) / nullif(sum((event_type IN ('view', 'click'))::INT), 0), 0)::DOUBLE AS hit_rate FROM events GROUP BY 1")
 def cache_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     hits, both = F.count_if(F.col("event_type") == "view"), F.count_if(F.col("event_type").isin("view", "click"))

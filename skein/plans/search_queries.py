@@ -9,6 +9,7 @@ from skein.functions import chunks, text
 from skein.functions import conventions as rules
 from skein.operators import graph, search
 from skein.plans.adapters import keyword_index, tables, vector_index, with_views
+from skein.sources import parsers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -242,9 +243,18 @@ def chunk_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"), (text.estimated_tokens(F.col("text")) <= 512).alias("whole"))
 
 
-@query("chunks")
+_CHUNKS = """WITH RECURSIVE d AS (SELECT doc_id AS symbol_id, text AS body, string_split(text, chr(10)) AS l FROM documents WHERE trim(text) <> ''),
+f AS (SELECT symbol_id, 1 AS i, l, [l[1]] AS held, 1 AS first, CAST(NULL AS VARCHAR) AS content, 0 AS s, 0 AS e FROM d WHERE length(body) // 4 > 512
+ UNION ALL SELECT symbol_id, i + 1, l, CASE WHEN over THEN list_append(held[len(held) - keep + 1:], l[i + 1]) ELSE list_append(held, l[i + 1]) END, CASE WHEN over THEN i + 1 - keep ELSE first END, CASE WHEN over THEN array_to_string(held, chr(10)) END, first, i
+ FROM (SELECT *, list_sum(list_transform(held, lambda x: length(x))) + length(l[i + 1]) > 2048 AS over, len(list_filter(range(1, len(held) + 1), lambda k: list_sum(list_transform(held[len(held) - k + 1:], lambda x: length(x))) <= 200)) AS keep FROM f WHERE i < len(l))),
+c AS (SELECT symbol_id, i - 1 AS pos, content, s, e FROM f WHERE content IS NOT NULL UNION ALL SELECT symbol_id, i, array_to_string(held, chr(10)), first, len(l) FROM f WHERE i = len(l))
+SELECT symbol_id, CAST(row_number() OVER (PARTITION BY symbol_id ORDER BY pos) - 1 AS INT) AS part, content, CAST(s AS BIGINT) AS start_line, CAST(e AS BIGINT) AS end_line FROM c
+UNION ALL SELECT symbol_id, 0, body, 1, len(l) FROM d WHERE length(body) // 4 <= 512"""
+
+
+@query("chunks", _CHUNKS)
 def all_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """An ordered fold over lines; tests hold it against a plain program."""
+    """An ordered fold over lines, by the table function; its SQL is a recursion over lines."""
     docs = tables(spark, sf, "documents")[0]
     return chunks.extract_chunks(docs.select(F.col("doc_id").alias("symbol_id"), F.col("text").alias("body"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line")))
 
@@ -305,6 +315,41 @@ def response_rows(spark: SparkSession, sf: str) -> DataFrame:
     return search.for_response(rows).select("doc_id", "confidence", "evidence.commit_sha", F.to_json("metadata").alias("metadata"))
 
 
+def _sources(quote: str) -> str:
+    """Files made of the parts, one language for each rest of the key, in either engine's SQL."""
+    n = f"CAST(p_partkey AS {quote})"
+    python = f"""'import m' || {n} || ' as al\nfrom .pkg import one, two\n\nclass C' || {n} || '(Base):\n    # class Not:\n\n    def get_' || {n} || '(self, a, b=1):\n        return a\n\nasync def f' || {n} || '():\n    pass\n'"""
+    script = f"""'import {{{{ one, two as z }}}} from "./m' || {n} || '";\nconst fs = require("fs");\n\nexport class C' || {n} || ' extends Base {{{{\n  // class Not {{{{\n  get_' || {n} || '(a, b) {{{{\n    return `}}}}`;\n  }}}}\n}}}}\n\nfunction f' || {n} || '(x) {{{{ return "{{{{"; }}}}\n'"""
+    go = f"""'package main\n\nimport (\n\tal "m' || {n} || '"\n)\n\ntype C' || {n} || ' struct {{{{ w int }}}}\n\nfunc (c *C' || {n} || ') get_' || {n} || '(a int) int {{{{\n\treturn a // }}}}\n}}}}\n\nfunc f' || {n} || '() {{{{ }}}}\n'"""
+    java = f"""'import java.m' || {n} || '.One;\n\npublic class C' || {n} || ' {{{{\n  private int x = 1;\n  public static int get_' || {n} || '(int a, int b) {{{{ return a; }}}}\n}}}}\n'"""
+    return f"SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'a.py' WHEN 1 THEN 'a.js' WHEN 2 THEN 'a.go' ELSE 'A.java' END AS path, CASE p_partkey % 4 WHEN 0 THEN {python} WHEN 1 THEN {script} WHEN 2 THEN {go} ELSE {java} END AS content"
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    files = spark.sql(_sources("STRING") + " FROM {part}", part=tables(spark, sf, "part")[0])
+    parsed = parsers.parse_tree(files.select(F.concat("id", F.lit("/"), "path").alias("path"), F.encode("content", "UTF-8").alias("content")))
+    return parsed.withColumn("id", F.split_part("path", F.lit("/"), F.lit(1)).cast("long"))
+
+
+_LANG = "CASE p_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'go' ELSE 'java' END"
+
+
+def _at(*lines: int) -> str:
+    return " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(lines))
+
+
+@query("parsed_symbols", f"WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS k, {_LANG} AS language, CAST(p_partkey AS VARCHAR) AS n FROM part) SELECT id, language, 'C' || n AS name, 'class' AS symbol_type, CAST(NULL AS VARCHAR) AS parent, CASE k {_at(4, 4, 7, 3)} END AS start_line, CASE k {_at(8, 9, 7, 6)} END AS end_line FROM p UNION ALL SELECT id, language, 'get_' || n, 'method', 'C' || n, CASE k {_at(7, 6, 9, 5)} END, CASE k {_at(8, 8, 11, 5)} END FROM p UNION ALL SELECT id, language, 'f' || n, 'function', NULL, CASE k {_at(10, 11, 13)} END, CASE k {_at(11, 11, 13)} END FROM p WHERE k < 3")
+def parsed_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of files in four languages, with braces in comments, strings and templates."""
+    return _parsed(spark, sf).select("id", "language", F.explode("symbols").alias("s")).select("id", "language", "s.name", "s.symbol_type", "s.parent", "s.start_line", "s.end_line")
+
+
+@query("parsed_imports", "WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS k, CAST(p_partkey AS VARCHAR) AS n FROM part) SELECT id, CASE k WHEN 0 THEN 'm' || n WHEN 1 THEN './m' || n WHEN 2 THEN 'm' || n ELSE 'java.m' || n || '.One' END AS module, CASE k WHEN 1 THEN 'one,two' WHEN 3 THEN 'One' ELSE '' END AS names, CASE k WHEN 0 THEN 'al' WHEN 1 THEN 'z' WHEN 2 THEN 'al' END AS alias, k = 1 AS is_relative FROM p UNION ALL SELECT id, CASE k WHEN 0 THEN '.pkg' ELSE 'fs' END, CASE k WHEN 0 THEN 'one,two' ELSE 'fs' END, NULL, k = 0 FROM p WHERE k < 2")
+def parsed_imports(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _parsed(spark, sf).select("id", F.explode("imports").alias("i"))
+    return rows.select("id", "i.module", F.array_join("i.names", ",").alias("names"), "i.alias", "i.is_relative")
+
+
 @query("conventions", "WITH s AS (SELECT CASE source WHEN 'src0' THEN 'python' WHEN 'src1' THEN 'go' ELSE 'other' END AS language, split_part(text, ' ', 1) AS w, * FROM documents), n AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN CASE source WHEN 'src1' THEN w ELSE upper(w[1:1]) || w[2:] END END AS c, CASE WHEN doc_id % 2 = 1 THEN w || CASE source WHEN 'src1' THEN 'Of' ELSE '_of' END END AS f FROM s) SELECT language, CASE WHEN count(c) = 0 THEN 'Unknown' WHEN coalesce(bool_and(regexp_matches(c[1:1], '\\p{Lu}')) FILTER (c <> ''), true) THEN 'PascalCase (UpperCamelCase)' ELSE 'Mixed case' END AS classes, CASE WHEN count(f) = 0 THEN 'Unknown' WHEN coalesce(bool_and(contains(f, '_')) FILTER (length(f) > 3), true) THEN 'snake_case' WHEN coalesce(bool_and(regexp_matches(f, '^\\p{Ll}.*\\p{Lu}')) FILTER (f <> ''), true) THEN 'camelCase' ELSE 'Mixed case' END AS functions, CASE language WHEN 'python' THEN 'Uses try/except blocks,Raises custom exceptions' WHEN 'go' THEN 'Returns error as second value,Checks if err != nil' ELSE '' END AS error_handling, CASE WHEN count(*) FILTER (lang = 'fr' AND language = 'python') > 0 THEN 'Imports grouped by type,' ELSE '' END || 'Alphabetically sorted within groups' AS import_ordering FROM n GROUP BY 1")
 def conventions(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables(spark, sf, "documents")[0]

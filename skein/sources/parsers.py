@@ -8,9 +8,9 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +41,14 @@ class Import:
 
 Parsed = tuple[list[Symbol], list[Import], list[str]]
 SYMBOL = "struct<name string, symbol_type string, start_line int, end_line int, parent string, docstring string, signature string, modifiers array<string>, parameters array<string>, return_type string, body string>"
-SCHEMA = f"path string, language string, success boolean, errors array<string>, symbols array<{SYMBOL}>, imports array<struct<module string, names array<string>, line int, alias string, is_relative boolean>>"
+IMPORT = "struct<module string, names array<string>, line int, alias string, is_relative boolean>"
+SCHEMA = f"path string, language string, success boolean, errors array<string>, symbols array<{SYMBOL}>, imports array<{IMPORT}>"
+
+#: The same for Arrow.
+_TEXT, _TEXTS = pa.string(), pa.list_(pa.string())
+_SYMBOL = pa.struct([("name", _TEXT), ("symbol_type", _TEXT), ("start_line", pa.int32()), ("end_line", pa.int32()), ("parent", _TEXT), ("docstring", _TEXT), ("signature", _TEXT), ("modifiers", _TEXTS), ("parameters", _TEXTS), ("return_type", _TEXT), ("body", _TEXT)])
+_IMPORT = pa.struct([("module", _TEXT), ("names", _TEXTS), ("line", pa.int32()), ("alias", _TEXT), ("is_relative", pa.bool_())])
+ARROW = pa.schema([("path", _TEXT), ("language", _TEXT), ("success", pa.bool_()), ("errors", _TEXTS), ("symbols", pa.list_(_SYMBOL)), ("imports", pa.list_(_IMPORT))])
 
 
 def _python(text: str) -> Parsed:
@@ -222,7 +229,7 @@ def parse(path: str, content: bytes) -> dict:
         if b"\x00" in content[:8192]:
             raise ValueError("binary file")
         symbols, imports, row["errors"] = parser(content.decode("utf-8"))
-        row["symbols"], row["imports"] = [vars(s) for s in symbols], [vars(i) for i in imports]
+        row["symbols"], row["imports"] = [asdict(s) for s in symbols], [asdict(i) for i in imports]  # copies: what vars() gives may lose lists once its object is gone
         row["success"] = not row["errors"]
     except (SyntaxError, ValueError, RecursionError) as e:
         row["errors"] = [f"{type(e).__name__}: {e}"]
@@ -233,10 +240,11 @@ def parse_tree(tree: DataFrame) -> DataFrame:
     """tree: (path, content). A row per file; files are dealt over tasks by Spark's file splits."""
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([parse(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=["path", "language", "success", "errors", "symbols", "imports"])
+        for batch in batches:
+            rows = [parse(p, c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    return tree.select("path", "content").mapInPandas(run, SCHEMA)
+    return tree.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import subprocess
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,21 +75,3 @@ def service_files(services: DataFrame, tree: DataFrame) -> DataFrame:
 def changed_since(tree: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose content is new or differs from known (path, digest): the work of an incremental run."""
     return tree.withColumn("digest", F.sha2("content", 256)).join(known.select("path", "digest"), ["path", "digest"], "left_anti")
-
-
-COMMIT_SCHEMA = "commit_hash string, author string, author_email string, commit_date timestamp, message string, file_path string, additions long, deletions long"
-
-
-def git_log(spark: SparkSession, checkout: str, revisions: str = "HEAD") -> DataFrame:
-    """A row per commit and changed file against the first parent, by ``git log --numstat``."""
-    from datetime import datetime
-
-    log = subprocess.run(["git", "-C", checkout, "log", "--first-parent", "-m", "--numstat", "--no-renames", "--format=%x01%H%x02%an%x02%ae%x02%ct%x02%s", revisions], capture_output=True, text=True, check=True).stdout
-    rows = []
-    for entry in log.split("\x01")[1:]:
-        head, _, body = entry.partition("\n")
-        commit, author, email, at, message = head.split("\x02")
-        for line in filter(None, body.split("\n")):
-            added, removed, path = line.split("\t")
-            rows.append((commit, author, email, datetime.fromtimestamp(int(at)), message, path, int(added) if added != "-" else 0, int(removed) if removed != "-" else 0))
-    return spark.createDataFrame(rows, COMMIT_SCHEMA)

@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from skein.sources import parsers, store, tree
+from skein.sources import cache, gitlog, parsers, store, tree
 from skein.streaming import bus
 
 FILES = {
@@ -128,7 +128,7 @@ def test_git_log(spark, tmp_path):
     git("add", "."), git("commit", "-m", "one")
     (tmp_path / "a.txt").write_text("1\n3\n4\n")
     git("add", "."), git("commit", "-m", "two")
-    rows = {r["message"]: (r["file_path"], r["additions"], r["deletions"]) for r in tree.git_log(spark, str(tmp_path)).collect()}
+    rows = {r["message"]: (r["file_path"], r["additions"], r["deletions"]) for r in gitlog.git_log(spark, str(tmp_path)).collect()}
     assert rows == {"one": ("a.txt", 2, 0), "two": ("a.txt", 2, 1)}
 
 
@@ -171,3 +171,82 @@ def test_dispatch(spark, tmp_path):
     assert dispatcher.failures[0][1] == "github_push"
     with pytest.raises(ValueError):
         dispatcher.on("nothing", print)
+
+
+def commit(folder, files, message):
+    for name, content in files.items():
+        (folder / name).write_text(content)
+    for words in (("add", "-A"), ("-c", "user.name=A", "-c", "user.email=a@b", "commit", "-qm", message)):
+        subprocess.run(["git", "-C", str(folder), *words], check=True)
+
+
+def test_two_pulls_equal_one(spark, tmp_path):
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    subprocess.run(["git", "-C", str(repo), "init", "-q"], check=True)
+    for i in range(5):
+        commit(repo, {f"f{i % 2}.txt": f"{i}\n" * (i + 1)}, f"first {i}")
+    table, log = str(tmp_path / "table"), str(tmp_path / "log")
+    gitlog.pull(spark, str(repo), table, log)
+    middle = gitlog._git(str(repo), "rev-parse", "HEAD")
+    assert spark.read.parquet(table).count() == 5
+    for i in range(3):
+        commit(repo, {"f9.txt": f"{i}\n"}, f"later {i}")
+    gitlog.pull(spark, str(repo), table, log)
+    gitlog.pull(spark, str(repo), table, log)
+    whole = gitlog.git_log(spark, str(repo))
+    assert sorted(map(tuple, spark.read.parquet(table).collect())) == sorted(map(tuple, whole.collect()))
+    new = gitlog.git_log(spark, str(repo), since=middle)
+    assert sorted(r["message"] for r in new.collect()) == ["later 0", "later 1", "later 2"]
+    assert [tuple(r) for r in gitlog.changed_files(new).collect()] == [("f9.txt", 3, 3, 2)]
+    spark.dataSource.register(gitlog.GitLog)
+    parts = spark.read.format("git_log").option("commits_a_partition", 3).load(str(repo))
+    assert parts.rdd.getNumPartitions() == 3 and parts.count() == whole.count() == 8
+    with pytest.raises(Exception):
+        gitlog.git_log(spark, str(repo), "nothing").count()
+
+
+def test_table_functions(spark):
+    from skein.functions import chunks
+
+    chunks.register(spark)
+    body = "\n".join(f"line {i} " + "x" * (i * 37 % 400) for i in range(120))
+    symbols = spark.createDataFrame([("a", body), ("b", "one\n\ntwo"), ("c", None)], "symbol_id string, body string")
+    want = {(s, i, *c) for s, b in (("a", body), ("b", "one\n\ntwo")) for i, c in enumerate(chunks.split_lines(b, 1, b.count("\n") + 1, 100, 20))}
+    lateral = spark.sql("SELECT s.symbol_id, c.* FROM {s} s, LATERAL chunk_text(s.body, 1, size(split(s.body, '\\n')), 100, 20) c", s=symbols)
+    assert {tuple(r) for r in lateral.collect()} == want
+    lines = spark.sql("SELECT symbol_id, pos + 1 AS line_number, line FROM {s} LATERAL VIEW posexplode(split(body, '\\n')) t AS pos, line", s=symbols)
+    lines.createOrReplaceTempView("lines_of_symbols")
+    by_line = spark.sql("SELECT * FROM chunk_lines(TABLE(lines_of_symbols) PARTITION BY symbol_id ORDER BY line_number)")
+    want = {(s, i, *c) for s, b in (("a", body), ("b", "one\n\ntwo")) for i, c in enumerate(chunks.split_lines(b, 1, b.count("\n") + 1))}
+    assert {tuple(r) for r in by_line.collect()} == want
+
+
+def test_cache_log(spark):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    ops = [("n", "a", "set", "1"), ("n", "a", "get", None), ("n", "b", "get", None), ("n", "a", "delete", None), ("n", "a", "get", None), ("n", "a", "set", "2"), ("n", None, "flush", None), ("n", "a", "get", None), ("n", "a", "set", "3"), ("m", "a", "get", None), ("m", "a", "set", "4")]
+    rows = [(ns, key, op, value, at(i), i) for i, (ns, key, op, value) in enumerate(ops)]
+    log = spark.createDataFrame(rows, "namespace string, key string, op string, value string, at timestamp, seq long")
+    warm = cache.prewarm(spark.createDataFrame([("x", "7", 3), ("y", "8", 9), ("z", "9", 9)], "key string, value string, uses int"), "n", F.lit(at(20)), 2)
+    log = log.unionByName(warm)
+    got = {r["seq"]: r["hit"] for r in cache.replay(log.where("op = 'get'").unionByName(log.where("op <> 'get'")), {"n": 100}).where("op = 'get'").collect()}
+    assert got == {1: True, 2: False, 4: False, 7: False, 9: False}
+    live = lambda s, ttl: {(r["namespace"], r["key"], r["value"]) for r in cache.entries(log, ttl, F.lit(at(s))).collect()}
+    assert live(30, {"n": 100}) == {("n", "a", "3"), ("n", "y", "8"), ("n", "z", "9"), ("m", "a", "4")}
+    assert live(30, {"n": 15, "m": 1}) == {("n", "y", "8"), ("n", "z", "9")}
+    stats = {r["namespace"]: r.asDict() for r in cache.statistics(log, {"n": 100}, F.lit(at(30))).collect()}
+    assert (stats["n"]["gets"], stats["n"]["hits"], stats["n"]["stored"], stats["n"]["flushes"], stats["n"]["live"], stats["n"]["hit_rate"]) == (4, 1, 5, 1, 3, 0.25)
+    sealed = spark.createDataFrame([("k", "väl"), ("k", "väl")], "key string, value string").select("key", "value", cache.seal(F.col("value"), "s", F.col("key")).alias("sealed"))
+    opened = sealed.select("sealed", cache.unseal(F.col("sealed"), "s", F.col("key")).alias("v"), cache.unseal(F.col("sealed"), "t", F.col("key")).alias("other"), cache.unseal(F.col("sealed"), "s", F.lit("j")).alias("moved")).collect()
+    assert {(r["v"], r["other"], r["moved"]) for r in opened} == {("väl", None, None)}
+
+
+def test_names_of_one_prefix_in_blocks(spark):
+    from skein.operators import graph
+
+    names = [f"get_{i}" for i in range(300)]
+    rows = [(i, n, f"def {n}(): return {names[(i * 7 + 1) % 300]}(get_x)") for i, n in enumerate(names)] + [(900, None, "get_5"), (901, "", None), (902, "get_5", "")]
+    symbols = spark.createDataFrame(rows, "id long, name string, body string")
+    want = {(a, b) for a, _, body in rows for b, name, _ in rows if body and name and a != b and name in body}
+    for size in (10**6, 400):
+        assert {tuple(r) for r in graph.call_edges(symbols, size).collect()} == want
