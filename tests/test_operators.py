@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.api import CodeIntel
 from skein.functions import chunks, text
-from skein.operators import graph, relational, search, timewin
+from skein.operators import graph, relational, search, timewin, trails
 
 
 def edges(spark, *pairs):
@@ -66,7 +66,7 @@ def test_betweenness_equals_a_plain_program(spark):
 
 def test_trails_repeat_nodes_but_no_edge(spark):
     e = edges(spark, ("a", "b"), ("b", "a"), ("b", "c"))
-    found = sorted((r["node"], r["length"]) for r in graph.trails(e, seeds(spark, "a"), 5).collect())
+    found = sorted((r["node"], r["length"]) for r in trails.trail_lengths(e, seeds(spark, "a"), 5, ("upstream",)).collect())
     assert found == [("a", 2), ("b", 1), ("c", 2)]
     short = {r["node"]: r["distance"] for r in graph.reach(e, seeds(spark, "a"), 5, "upstream").collect()}
     assert short == {"a": 2, "b": 1, "c": 2}
@@ -82,7 +82,7 @@ def test_many_sources_equal_single_ones(spark):
 def test_paths_are_the_shortest(spark):
     e = edges(spark, ("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("d", "e"), ("a", "e"))
     pairs = spark.createDataFrame([("a", "e")], "start string, end string")
-    assert [r["nodes"] for r in graph.paths_between(e, pairs, 5, 2).orderBy("length", "nodes").collect()] == [["a", "e"], ["a", "b", "d", "e"]]
+    assert [r["nodes"] for r in trails.paths_between(e, pairs, 5, 2).orderBy("length", "nodes").collect()] == [["a", "e"], ["a", "b", "d", "e"]]
 
 
 def test_star_of_eight_importers(spark):
