@@ -10,11 +10,13 @@ without a shuffle.
 
 Defined results: a null or empty text has the probability of a text without any known word; without labelled documents of
 both classes a category's probability is the share of its positives (0 without any); repeated rows give repeated results;
-rows of ``labels`` with a null id or label are left out.
+rows of ``labels`` with a null id or label are left out, of a document labelled more than once each category's largest label
+counts, of labelled rows of one id the smallest text; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -56,10 +58,10 @@ def _sample(batches):
         data, offsets = tb.batch_of(batch.column(0))
         for lo, hi in tb.runs(offsets):
             doc, feature, n = _counts(*_features(*tb.part(data, offsets, lo, hi)), 1 << _BITS)
-            packed = (feature << 8 | np.minimum(n, 255)).astype(np.int32)
-            ends = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
+            ends = pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (feature, n)]
             rows = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(packed)), *rows.columns[1:]], ["features", *rows.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([*lists, *rows.columns[1:]], ["features", "counts", *rows.schema.names[1:]])
 
 
 class Linear:
@@ -76,9 +78,9 @@ class Linear:
 class Sample:
     """Sparse log counts of the training documents."""
 
-    def __init__(self, ends: np.ndarray, packed: np.ndarray):
+    def __init__(self, ends: np.ndarray, features: np.ndarray, counts: np.ndarray):
         self.rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        self.features, self.values = packed >> 8, np.log1p(packed & 255).astype(np.float32)
+        self.features, self.values = features, np.log1p(counts).astype(np.float32)
         self.n = len(ends) - 1
 
     def select(self, some: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -163,7 +165,7 @@ class _Chain:
         hit = at >= 0
         table, logits = np.zeros((len(offsets) - 1, len(self.union))), np.zeros((len(offsets) - 1, 0))
         doc, at, n = _counts(doc[hit], at[hit].astype(np.int64), max(1, len(self.union)))
-        table[doc, at] = np.log1p(np.minimum(n, 255))
+        table[doc, at] = np.log1p(n)
         out = np.zeros((len(table), len(self.models)))
         for k, m in enumerate(self.models):
             out[:, k] = m.of(table[:, np.searchsorted(self.union, m.chosen)], logits)
@@ -190,18 +192,31 @@ def _reject(shared, text_col: str, threshold: float) -> Callable:
     return run
 
 
+def _fitted(categories: tuple[str, ...]) -> Callable:
+    def run(batches):
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        feature = table["features"].combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(feature.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        y = np.stack([table[c].to_numpy() for c in categories], axis=1)
+        sample = Sample(ends, *(x.flatten().to_numpy().astype(np.int64) for x in (feature, table["counts"].combine_chunks())))
+        yield pa.RecordBatch.from_pydict({"models": [pickle.dumps(fit_chain(sample, y, np.arange(len(y)) % FOLDS))]})
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[Linear]:
-    """labels: the id and a 0/1 column of each category, in chain order."""
-    full = labels.select(id_col, *categories).dropna().dropDuplicates([id_col])
+    """labels: the id and a 0/1 column of each category, in chain order. One task fits the chain on the sample; the driver gets the models."""
+    full = labels.select(id_col, *categories).dropna().groupBy(id_col).agg(*(F.max(c).cast("int").alias(c) for c in categories))
     picked = full.orderBy(F.xxhash64(id_col), id_col).limit(sample)  # at most ``sample`` rows, so small enough to broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id")
-    schema = "features array<int>, id string, " + ", ".join(f"{c} int" for c in categories)
-    table = rows.select("text", F.col("id").cast("string").alias("id"), *(F.col(c).cast("int").alias(c) for c in categories)).mapInArrow(_sample, schema).toArrow()
-    table = table.take(np.argsort(np.array(table["id"].to_pylist(), dtype=str), kind="stable")).combine_chunks()
-    feature = table["features"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-    ends = np.concatenate([[0], np.cumsum(feature.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    y = np.stack([table[c].to_numpy() for c in categories], axis=1) if table.num_rows else np.zeros((0, len(categories)))
-    return fit_chain(Sample(ends, feature.flatten().to_numpy().astype(np.int64)), y, np.arange(len(y)) % FOLDS)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id")
+    rows = rows.groupBy("id", *categories).agg(F.min("text").alias("text"))
+    schema = "features array<int>, counts array<int>, id string, " + ", ".join(f"{c} int" for c in categories)
+    table = rows.select("text", F.col("id").cast("string").alias("id"), *categories).mapInArrow(_sample, schema)
+    fitted = table.repartition(1).sortWithinPartitions("id").mapInArrow(_fitted(categories), "models binary").collect()  # one row, or none without a sample
+    if not fitted:
+        none = np.zeros(0, np.int64)
+        return fit_chain(Sample(np.zeros(1, np.int64), none, none), np.zeros((0, len(categories))), none)
+    return pickle.loads(fitted[0]["models"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

@@ -334,12 +334,24 @@ def test_toxicity_odd_rows(spark):
     assert left.columns == docs.columns and left.count() == sum(got.values()) and 1 not in {r["doc_id"] for r in left.collect()}
 
 
+def test_repeated_labels_and_ids_train_once(spark):
+    """Of rows of one id the smallest text, of its labels the largest, whatever their order."""
+    docs = frame(spark, [(i, "foo bar idiot" if i % 2 else "foo bar fine") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, low_quality int, toxic int")
+    more = docs.union(frame(spark, [(3, "zz later text"), (3, "foo bar idiot"), (4, "zz idiot")]))
+    twice = labels.union(spark.createDataFrame([(3, 0, 0), (5, 1, 0)], labels.schema))
+    want = {r["doc_id"]: r["p_toxic"] for r in toxicity.score_toxicity(docs, labels, toxicity.CHAIN).collect()}
+    for d, x in ((docs, twice), (more, labels), (more.repartition(3), twice.repartition(2))):
+        got = {r["doc_id"]: r["p_toxic"] for r in toxicity.score_toxicity(d, x, toxicity.CHAIN).where("doc_id not in (3, 4)").collect()}
+        assert got == pytest.approx({k: v for k, v in want.items() if k not in (3, 4)})
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(0)
     n = 600
     first, second = rng.integers(0, 2, n), rng.integers(0, 2, n)
-    packed = [np.array(sorted({(100 + first[i]) << 8 | 1, (200 + second[i]) << 8 | 1, 300 << 8 | 2})) for i in range(n)]
-    sample = toxicity.Sample(np.cumsum([0, *map(len, packed)]), np.concatenate(packed))
+    features = np.stack([100 + first, 200 + second, np.full(n, 300)], 1).ravel()
+    sample = toxicity.Sample(np.arange(n + 1) * 3, features, np.tile([1, 1, 2], n))
     labels = np.stack([first, first], 1)
     models = toxicity.fit_chain(sample, labels, np.arange(n) % 5)
     assert len(models[1].weights) == len(models[1].chosen) + 1
