@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -187,3 +188,25 @@ def test_ties_follow_the_tokenizer():
         want = exact.encode(word).tokens
         unknown = sum(t not in {v for v, _ in vocabulary} for t in want)
         assert unknown or counter.word(word)[0] == len(want)
+
+
+def test_a_word_without_end(unigram, monkeypatch):
+    """Long words are matched one character at a time, with the same result, and without a list for each character."""
+    counter, exact = unigram
+    word = "ablehandöß漢x" * 3000
+    assert len(word) > token_count.LONG and counter.text(word)[0] == len(exact.encode(word, add_special_tokens=False).ids)
+    some = [word[i : i + 90] for i in range(0, 900, 60)]
+    want = [counter.word(w) for w in some]
+    monkeypatch.setattr(token_count, "LONG", 5)
+    assert [counter.word(w) for w in some] == want
+    tracemalloc.start()
+    counter.word("ablehand" * 50_000)
+    assert tracemalloc.get_traced_memory()[1] < 40 * 400_000
+    tracemalloc.stop()
+
+
+def test_count_empty_table_and_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a word", 3, 0.5)], "doc_id long, text string, n_tokens int, score double")
+    got = token_count.count_tokens(docs, token_count.default_vocabulary())
+    assert got.columns == ["doc_id", "n_tokens", "score"] and got.first()["n_tokens"] > 0
+    assert token_count.count_tokens(docs.limit(0), token_count.default_vocabulary()).count() == 0
