@@ -75,22 +75,37 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.base, -30, 30)))
 
 
+#: Entries of a sample that are worked on at once.
+ENTRIES = 1 << 19
+
+
 class Sample:
-    """Sparse log counts of the training documents."""
+    """Sparse log counts of the training documents, as features (32-bit) and values by document."""
 
-    def __init__(self, ends: np.ndarray, features: np.ndarray, counts: np.ndarray):
-        self.rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        self.features, self.values = features, np.log1p(counts).astype(np.float32)
+    def __init__(self, ends: np.ndarray, features: np.ndarray, values: np.ndarray):
+        self.ends, self.features, self.values = ends, features, values
         self.n = len(ends) - 1
 
+    def parts(self):
+        """(rows, features, values) of runs of documents."""
+        lo = 0
+        while lo < self.n:
+            hi = max(lo + 1, int(np.searchsorted(self.ends, self.ends[lo] + ENTRIES, "right")) - 1)
+            some = slice(self.ends[lo], self.ends[hi])
+            yield np.repeat(np.arange(lo, hi), np.diff(self.ends[lo : hi + 1])), self.features[some], self.values[some]
+            lo = hi
+
     def select(self, some: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
         """The features whose mean log counts differ most between the classes, in standard errors."""
-        use = some[self.rows]
-        f, v, positive = self.features[use], self.values[use].astype(float), y[self.rows[use]] > 0
         width, n1 = 1 << _BITS, max(1, int(y[some].sum()))
         n0 = max(1, int(some.sum()) - n1)
-        s1, s0 = np.bincount(f[positive], v[positive], width), np.bincount(f[~positive], v[~positive], width)
-        squares = np.bincount(f, v * v, width)
+        s1, s0, squares = np.zeros(width), np.zeros(width), np.zeros(width)
+        for rows, features, values in self.parts():
+            use = some[rows]
+            f, v, positive = features[use], values[use].astype(float), y[rows[use]] > 0
+            s1 += np.bincount(f[positive], v[positive], width)
+            s0 += np.bincount(f[~positive], v[~positive], width)
+            squares += np.bincount(f, v * v, width)
         spread = squares / (n0 + n1) - ((s0 + s1) / (n0 + n1)) ** 2 + 1e-3
         z = np.abs(s1 / n1 - s0 / n0) / np.sqrt(spread * (1 / n1 + 1 / n0))
         best = np.argsort(-z, kind="stable")[:most]
@@ -98,9 +113,10 @@ class Sample:
 
     def table(self, chosen: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n, len(chosen)))
-        at = np.searchsorted(chosen, self.features)
-        hit = (at < len(chosen)) & (chosen[np.minimum(at, max(len(chosen) - 1, 0))] == self.features) if len(chosen) else np.zeros(len(at), bool)
-        out[self.rows[hit], at[hit]] = self.values[hit]
+        for rows, features, values in self.parts() if len(chosen) else ():
+            at = np.searchsorted(chosen, features)
+            hit = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == features)
+            out[rows[hit], at[hit]] = values[hit]
         return out
 
 
@@ -194,11 +210,17 @@ def _reject(shared, text_col: str, threshold: float) -> Callable:
 
 def _fitted(categories: tuple[str, ...]) -> Callable:
     def run(batches):
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        feature = table["features"].combine_chunks()
-        ends = np.concatenate([[0], np.cumsum(feature.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        y = np.stack([table[c].to_numpy() for c in categories], axis=1)
-        sample = Sample(ends, *(x.flatten().to_numpy().astype(np.int64) for x in (feature, table["counts"].combine_chunks())))
+        sizes, features, values, labels = [], [], [], []
+        for batch in batches:  # at most the sample, as four bytes for each feature and value
+            f, n = batch.column("features"), batch.column("counts")
+            sizes.append(f.value_lengths().to_numpy(zero_copy_only=False))
+            features.append(f.flatten().to_numpy().astype(np.int32))
+            values.append(np.log1p(n.flatten().to_numpy()).astype(np.float32))
+            labels.append(np.stack([batch.column(c).to_numpy() for c in categories], axis=1))
+        if not labels:
+            return
+        y = np.concatenate(labels)
+        sample = Sample(np.cumsum(np.concatenate([[0], *sizes])).astype(np.int64), np.concatenate(features), np.concatenate(values))
         yield pa.RecordBatch.from_pydict({"models": [pickle.dumps(fit_chain(sample, y, np.arange(len(y)) % FOLDS))]})
 
     return run
@@ -214,8 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_co
     table = rows.select("text", F.col("id").cast("string").alias("id"), *categories).mapInArrow(_sample, schema)
     fitted = table.repartition(1).sortWithinPartitions("id").mapInArrow(_fitted(categories), "models binary").collect()  # one row, or none without a sample
     if not fitted:
-        none = np.zeros(0, np.int64)
-        return fit_chain(Sample(np.zeros(1, np.int64), none, none), np.zeros((0, len(categories))), none)
+        none = np.zeros(0, np.int32)
+        return fit_chain(Sample(np.zeros(1, np.int64), none, none.astype(np.float32)), np.zeros((0, len(categories))), none)
     return pickle.loads(fitted[0]["models"])
 
 

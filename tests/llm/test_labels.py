@@ -351,7 +351,7 @@ def test_chain_uses_earlier_categories():
     n = 600
     first, second = rng.integers(0, 2, n), rng.integers(0, 2, n)
     features = np.stack([100 + first, 200 + second, np.full(n, 300)], 1).ravel()
-    sample = toxicity.Sample(np.arange(n + 1) * 3, features, np.tile([1, 1, 2], n))
+    sample = toxicity.Sample(np.arange(n + 1) * 3, features, np.log1p(np.tile([1, 1, 2], n)).astype(np.float32))
     labels = np.stack([first, first], 1)
     models = toxicity.fit_chain(sample, labels, np.arange(n) % 5)
     assert len(models[1].weights) == len(models[1].chosen) + 1
