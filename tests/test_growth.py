@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from skein.operators import classes
 from skein.sources import cache
 
 
@@ -38,3 +39,24 @@ def test_replay_of_many_flushes(spark):
     assert "collect_list" not in plan_of(replayed)
     live = {(r["namespace"], r["key"]): (r["value"], r["written_at"]) for r in cache.entries(log, {"n": 1800}, F.lit(last)).collect()}
     assert live == {k: v for k, v in alive.items() if k[0] != "n" or (last - v[1]).total_seconds() < 1800}
+
+
+HOLDS = "(file_rest + symbol_rest) % 5 <> 0"
+
+
+def by_class(spark):
+    """Files and symbols by class, and the plain pairs; keys repeat, and a class has no partner on either side."""
+    rng = random.Random(9)
+    files = [(f, f % 7) for f in range(60)] + [(3, 3), (11, 4), (99, 50)]
+    symbols = [(s, f"n{rng.randrange(6)}", s % 7) for s in range(0, 40, 2)] + [(4, "n1", 4), (77, "other", 60), (8, "a::b", 1), (9, None, 2)]
+    owners = spark.createDataFrame([(f, c, f % 5) for f, c in files], "file_path long, class long, rest long")
+    names = spark.createDataFrame([(s, n, c, s % 5) for s, n, c in symbols], "symbol long, name string, class long, rest long")
+    return owners, names, [(f, s, n) for f, c in files for s, n, d in symbols if c == d]
+
+
+def test_pairs_of_classes_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(classes, "ROWS_OF_TASK", 7)
+    owners, names, rows = by_class(spark)
+    got = classes.pairs(owners, names)
+    assert sorted(map(tuple, got.collect())) == sorted({(f, s) for f, s, _ in rows})
+    assert plan_of(got).count("Aggregate") == 2 and plan_of(got).lstrip()[:7] == "Project"  # nothing is made distinct after the join
