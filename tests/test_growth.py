@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import classes
+from skein.operators import classes, graph
 from skein.plans.registry import QUERIES
 from skein.sources import cache, store
 
@@ -99,3 +100,16 @@ def test_files_with_symbols_by_class(spark):
 def test_queries_of_symbols_make_no_pairs(spark, sf):
     for name in ("file_metrics", "graph_integrity", "files_by_language", "assembled_results"):
         assert "% 97) = (" not in plan_of(QUERIES[name](spark, sf)), name
+
+
+def test_betweenness_in_arrays_equals_joins(spark):
+    rng = random.Random(4)
+    pairs = list({(rng.randrange(40), rng.randrange(40)) for _ in range(110)} | {(100, 101), (101, 102), (100, 103), (103, 102), (7, 7)})
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    some = spark.createDataFrame([(i,) for i in (*range(0, 40, 3), 100, 500)], "node long")
+    for sources in (None, some):
+        arrays, joins = ({r["node"]: r["betweenness"] for r in graph.betweenness(edges, sources, **kept).collect()} for kept in ({}, {"edges_of_task": 0}))
+        assert arrays == pytest.approx(joins) and any(arrays.values())
+    named = graph.betweenness(spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string"))
+    whole = {r["node"]: r["betweenness"] for r in graph.betweenness(edges).collect()}
+    assert {r["node"]: r["betweenness"] for r in named.collect()} == pytest.approx({f"n{k}": v for k, v in whole.items()})
