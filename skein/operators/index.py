@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators.search import B, K1, cosine, words_of
+from skein.operators.search import B, K1, words_of
 
 
 class KeywordIndex:
@@ -73,6 +73,85 @@ class KeywordIndex:
         return scored(bounds if least["n"] < limit else bounds.where(F.col("most") * (1 + 1e-9) >= least["score"]))
 
 
+def _matrix_of(column, width: int):
+    """Vectors as rows of a matrix; null ones and vectors of another length as zeros."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    right = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    out = np.zeros((len(column), width))
+    at = np.flatnonzero(right.to_numpy(zero_copy_only=False))
+    if len(at):
+        out[at] = np.nan_to_num(column.filter(right).flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(len(at), width)
+    return out
+
+
+def _near_cells(centroids, count: int, column: str = "vector"):
+    """Adds to each row the cells of the centroids nearest to its vector, ties by cell."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centres = np.array(centroids.value)
+        for batch in batches:
+            cells = [[] for _ in range(batch.num_rows)]
+            if len(centres):
+                far = -_matrix_of(batch.column(column), centres.shape[1]) @ centres.T
+                cells = (far.argmin(axis=1)[:, None] if count == 1 else far.argsort(axis=1, kind="stable")[:, :count]).astype(np.int32).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+
+    return run
+
+
+def _best(limit: int, id_col: str):
+    """Of a group of rows the best of each query of a group, among those of its cells where it has some; rows without a score come last."""
+
+    def run(rows, queries):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kinds = [("query_id", queries.schema.field("query_id").type), (id_col, rows.schema.field("id").type), ("cell", pa.int32()), ("certainty", pa.float64())]
+        rows = rows.take(pc.sort_indices(rows, [("cell", "ascending"), ("id", "ascending")]))
+        widths = [w for w in pc.list_value_length(rows["held"]).to_pylist() if w]
+        width = max(widths, default=1)
+        held, cell = _matrix_of(rows["held"], width), rows["cell"].to_numpy()
+        place = np.argsort(pc.sort_indices(rows["id"]).to_numpy()) if rows.num_rows else np.zeros(0, int)
+        size = np.sqrt((held * held).sum(axis=1))
+        first = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)) if rows.num_rows else np.zeros(0, int)
+        runs = list(zip(first, [*first[1:], rows.num_rows], strict=True))
+        out = [[], [], []]
+        for start in range(0, queries.num_rows, 256):
+            some = queries.slice(start, 256)
+            asked, cells = _matrix_of(some["vector"], width), some["cells"].to_pylist()
+            long = np.sqrt((asked * asked).sum(axis=1))
+            score = np.full((len(asked), len(held)), -np.inf)  # not met
+            if all(c is None for c in cells):
+                score[:] = asked @ held.T
+            else:
+                wanted = [set(c) for c in cells]
+                for a, b in runs:
+                    mine = [q for q, w in enumerate(wanted) if cell[a] < 0 or cell[a] in w]
+                    score[mine, a:b] = asked[mine] @ held[a:b].T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.where(np.isneginf(score), score, score / (long[:, None] * size[None, :]))
+            score[np.isnan(score)] = -9  # a null or zero vector
+            for q, row in enumerate(score):
+                least = np.partition(row, len(row) - limit)[len(row) - limit] if limit < len(row) else -np.inf
+                at = np.flatnonzero((row >= least) & (row > -np.inf))
+                at = at[np.lexsort((place[at], -row[at]))][:limit]
+                out[0].append(np.full(len(at), start + q))
+                out[1].append(at)
+                out[2].append(row[at])
+        q, at, value = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        certainty = pa.array((1 + value) / 2, pa.float64(), mask=value == -9)
+        return pa.table([queries["query_id"].take(pa.array(q.astype(np.int64))), rows["id"].take(pa.array(at.astype(np.int64))), rows["cell"].take(pa.array(at.astype(np.int64))), certainty], schema=pa.schema(kinds))
+
+    return run
+
+
 class VectorIndex:
     """An inverted file: vectors in the cells of centroids found by k-means, asked by the cells nearest to a query.
 
@@ -83,6 +162,7 @@ class VectorIndex:
     """
 
     ASKED, NEIGHBOURS, TARGET = 200, 10, 0.97
+    ROWS_AT_ONCE, QUERIES_AT_ONCE = 65_536, 8_192
 
     def __init__(self, spark: SparkSession, root: str, id_col: str = "vec_id", vector_col: str = "embedding"):
         self.spark, self.root, self.id_col, self.vector_col = spark, root.rstrip("/"), id_col, vector_col
@@ -95,12 +175,13 @@ class VectorIndex:
 
         length = F.sqrt(F.aggregate(self.vector_col, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
         unit = F.transform(self.vector_col, lambda x: x.cast("double") / F.col("length"))
-        rows = units.withColumn("length", length).withColumn("unit", F.when(F.col("length") > 0, unit))
+        rows = units.withColumn("length", length)
         n = units.count()
         cells = cells or max(1, round(n**0.5))
-        chosen = rows.where("unit IS NOT NULL")
+        chosen = rows.where("length > 0").withColumn("unit", unit)
         if n > sample:
             chosen = chosen.where(F.pmod(F.xxhash64(self.id_col), F.lit(1_000_000)) < sample * 1_000_000 // n)
+        chosen = chosen.repartition(2 * self.spark.sparkContext.defaultParallelism, self.id_col)  # the table may be one split
         points = chosen.select(array_to_vector("unit").alias("features"))
         if points.isEmpty():
             centroids = self.spark.createDataFrame([], "cell int, centroid array<double>")
@@ -124,27 +205,22 @@ class VectorIndex:
         return self.spark.read.parquet(f"{self.root}/probes").first()["probes"]
 
     def _routed(self, queries: DataFrame, probes: int) -> DataFrame:
-        size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        unit = F.transform("vector", lambda x: x.cast("double") / F.nullif(size, F.lit(0.0)))
-        return queries.join(F.broadcast(self._ranked())).select("query_id", "vector", self._near(unit, probes).alias("cells"))  # one row of centroids
+        """The cells of the nearest centroids of each query."""
+        return queries.select("query_id", "vector").mapInArrow(_near_cells(self._matrix(), probes), queries.select("query_id", "vector", F.array().cast("array<int>").alias("cells")).schema)
 
     def _centroids(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/centroids")
 
-    def _ranked(self) -> DataFrame:
-        """All centroids in one row, in the order of their cells: the square root of the rows."""
-        return self._centroids().agg(F.array_sort(F.collect_list(F.struct("cell", "centroid"))).alias("centroids"))
-
-    @staticmethod
-    def _near(unit: Column, count: int) -> Column:
-        """The cells of the nearest centroids."""
-        dot = F.transform("centroids", lambda c: F.struct(F.aggregate(F.zip_with(c["centroid"], unit, lambda x, y: x * y), F.lit(0.0), lambda s, x: s - x).alias("far"), c["cell"].alias("cell")))
-        return F.transform(F.slice(F.array_sort(dot), 1, count), lambda c: c["cell"])
+    def _matrix(self):
+        """All centroids in the order of their cells, for the tasks: the square root of the rows."""
+        held = self._centroids().orderBy("cell").toArrow()["centroid"].to_pylist()
+        return self.spark.sparkContext.broadcast(held)
 
     def _place(self, rows: DataFrame) -> DataFrame:
-        near = F.try_element_at(self._near(F.col("unit"), 1), F.lit(1))
-        placed = rows.join(F.broadcast(self._ranked()))  # one row; its size is the number of centroids, at most the root of the rows
-        return placed.withColumn("cell", F.when(F.col("unit").isNull(), -1).otherwise(F.coalesce(near, F.lit(-1)))).drop("length", "unit", "centroids")
+        asked = rows.withColumn("cells", F.array().cast("array<int>"))
+        placed = rows.mapInArrow(_near_cells(self._matrix(), 1, self.vector_col), asked.schema)
+        empty = F.col("length").isNull() | ~(F.col("length") > 0)
+        return placed.withColumn("cell", F.when(empty, -1).otherwise(F.coalesce(F.try_element_at("cells", F.lit(1)), F.lit(-1)))).drop("length", "cells")
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/vectors")
@@ -156,26 +232,30 @@ class VectorIndex:
         held = self.rows()
         if not exact:
             size = sum(x * x for x in query) ** 0.5 or 1.0
-            unit = F.array(*(F.lit(float(x) / size) for x in query))
-            cells = self._ranked().select(self._near(unit, probes or self.probes()).alias("cells")).first()
-            held = held.where(F.col("cell").isin(-1, *cells["cells"]))
+            asked = self.spark.createDataFrame([(0, [float(x) / size for x in query])], "query_id int, vector array<double>")
+            held = held.where(F.col("cell").isin(-1, *self._routed(asked, probes or self.probes()).first()["cells"]))
         return vector_search(held.drop("cell"), query, limit, min_certainty=None, id_col=self.id_col, vector_col=self.vector_col)
 
     def search_many(self, queries: DataFrame, limit: int = 10, probes: int | None = None, exact: bool = False) -> DataFrame:
         """queries: (query_id, vector). Rows (query_id, id, certainty, place): each query meets the rows of its cells by an equi-join.
 
-        Exact search takes the queries in one array, so it is for query sets of a bounded size.
+        Rows and queries are dealt into groups of a bounded size, and each group of rows meets each group of queries in one task, as a product of
+        matrices that leaves each query's best rows; so all pairs are scored in bounded memory.
         """
-        held, score = self.rows(), cosine(F.col("vector"), F.col(self.vector_col))
-        if exact:
-            asked = queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-            met = held.join(F.broadcast(asked)).withColumn("q", F.explode("asked")).select(F.col("q.query_id").alias("query_id"), F.col("q.vector").alias("vector"), self.id_col, self.vector_col, "cell")
-        else:
-            routed = self._routed(queries, probes or self.probes()).select("query_id", "vector", F.explode(F.array_append("cells", F.lit(-1))).alias("cell"))
-            met = held.join(routed, "cell")
-        hits = met.select("query_id", self.id_col, "cell", ((1 + score) / 2).alias("certainty"))
+        queries, held = queries.select("query_id", "vector"), self.rows()
+        asked = queries.withColumn("cells", F.lit(None).cast("array<int>")) if exact else self._routed(queries, probes or self.probes())
+        n, least = held.count(), 2 * self.spark.sparkContext.defaultParallelism
+        parts = max(1, -(-n // self.ROWS_AT_ONCE), min(least, n // 1024))
+        blocks = max(1, -(-queries.count() // self.QUERIES_AT_ONCE))
+        group = lambda c, many: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
+        every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+        a = held.select(group(self.id_col, parts).alias("part"), F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("held"), "cell").withColumn("block", every(blocks))
+        b = asked.withColumn("block", group("query_id", blocks)).withColumn("part", every(parts))
+        a, b = (x.repartition(parts * blocks, "part", "block").groupBy("part", "block") for x in (a, b))
+        kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (held, self.id_col))}
+        best = a.cogroup(b).applyInArrow(_best(limit, self.id_col), f"query_id {kinds['query_id']}, {self.id_col} {kinds[self.id_col]}, cell int, certainty double")
         order = Window.partitionBy("query_id").orderBy(F.desc("certainty"), self.id_col)
-        return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+        return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
     def recall(self, queries: DataFrame, limit: int = 10, probes: int | None = None) -> DataFrame:
         """(query_id, wanted, found): how many of the exact nearest rows the probes give."""

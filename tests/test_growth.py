@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import classes, graph
+from skein.operators.index import VectorIndex
 from skein.plans.registry import QUERIES
 from skein.sources import cache, store
 
@@ -118,3 +120,56 @@ def test_betweenness_in_arrays_equals_joins(spark):
 def test_files_of_one_split_are_parsed_in_many_tasks(spark, sf):
     for name in ("parsed_symbols", "parsed_imports"):
         assert QUERIES[name](spark, sf).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_call_edges_are_not_shuffled(spark):
+    rng = random.Random(2)
+    words = ["a", "an", "tan", "then", "Ünd"]
+    rows = [(i, rng.choice([*words, None, ""]), " ".join(rng.choice(words) for _ in range(rng.randrange(5))) or None) for i in range(50)]
+    want = lambda rows: {(a, b) for a, _, body in rows for b, name, _ in rows if a != b and name and body and name in body}
+    got = graph.call_edges(spark.createDataFrame(rows, "id long, name string, body string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want(rows)) and "Aggregate" not in plan_of(got).split("Join")[0]
+    twice = [*rows, *[(i, words[i % 5], rows[i][2]) for i in range(0, 50, 3)]]
+    got = graph.call_edges(spark.createDataFrame(twice, "id long, name string, body string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want(twice))
+
+
+def test_commit_impact_in_bounded_parts(spark):
+    rng = random.Random(6)
+    changed = [(rng.randrange(40), rng.randrange(20)) for _ in range(150)]
+    edges = list({(rng.randrange(20), rng.randrange(20)) for _ in range(60)})
+    want: dict = {}
+    for c, f in set(changed):
+        for a, b in edges:
+            if b == f:
+                want[c, a] = want.get((c, a), 0) + 1
+    got = graph.commit_impact(spark.createDataFrame(changed, "commit_hash long, file_path long"), spark.createDataFrame(edges, "src long, dst long"), F.col("affected") % 4 == 1, 20)
+    assert {tuple(r) for r in got.collect()} == {(c, a, a % 4 == 1, n) for (c, a), n in want.items()}
+    assert got.rdd.getNumPartitions() == 22
+
+
+def test_exact_search_in_groups_equals_plain_scores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(VectorIndex, "ROWS_AT_ONCE", 40)
+    monkeypatch.setattr(VectorIndex, "QUERIES_AT_ONCE", 5)
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(3)]) for i in range(170)] + [(200, None), (201, [0.0, 0.0, 0.0])]
+    index = VectorIndex(spark, str(tmp_path)).build(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cells=6)
+    asked = [(i, v) for i, v in rows if i % 13 == 0]
+
+    def certainty(a, b):
+        size = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)) if b else 0
+        return (1 + sum(x * y for x, y in zip(a, b)) / size) / 2 if size else None
+
+    frame = spark.createDataFrame(asked, "query_id long, vector array<float>")
+    everything = {(r["query_id"], r["vec_id"]): r["certainty"] for r in index.search_many(frame, 500, exact=True).collect()}
+    assert everything == {(q, i): pytest.approx(c) if c is not None else None for q, v in asked for i, w in rows for c in [certainty(v, w)]}
+    best = index.search_many(frame, 4, exact=True).collect()
+    for q, _ in asked:
+        scores = sorted((c for (a, _), c in everything.items() if a == q and c is not None), reverse=True)
+        assert [r["certainty"] for r in sorted((r for r in best if r["query_id"] == q), key=lambda r: r["place"])] == pytest.approx(scores[:4] or [None] * 4)
+    cells = {r["vec_id"]: r["cell"] for r in index.rows().collect()}
+    some = index.search_many(frame, 500, probes=2).collect()
+    for q, _ in asked:
+        met = {r["vec_id"] for r in some if r["query_id"] == q}
+        held = {cells[i] for i in met}
+        assert len(held - {-1}) == 2 and met == {i for i, c in cells.items() if c in held | {-1}}
