@@ -12,36 +12,86 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators.search import B, K1, words_of
+from skein.operators.search import B, K1
+
+
+def _postings(size: int, size_bytes: int):
+    """Words of lower-cased texts, a block of rows at a time: a row for each word with the places and counts of its documents in the
+    block, and a row without a word with the ids and lengths of all its documents. A block is known by its first row."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        in_words = np.zeros(256, bool)
+        in_words[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+        for batch in batches:
+            long = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
+            of_block = np.stack([np.arange(batch.num_rows) // size, long // size_bytes])
+            cuts = np.flatnonzero(np.diff(of_block, prepend=-1).any(axis=0)).tolist()
+            for start, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                rows = batch.slice(start, end - start)
+                texts = rows.column("text").cast(pa.binary()).to_pylist()
+                data = np.frombuffer(b" ".join(texts), np.uint8)
+                inside = in_words[data]
+                edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+                begin, length = edges[::2], edges[1::2] - edges[::2]
+                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                words = pa.Array.from_buffers(pa.string(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+                place = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in texts)]), begin, side="right") - 1
+                lengths = np.bincount(place, minlength=len(texts))
+                key, count = np.unique(words.indices.to_numpy().astype(np.int64) * len(texts) + place, return_counts=True)
+                word, place = np.divmod(key, len(texts))
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                some = [0, *(len(texts) + first), len(texts) + len(word)]
+
+                def of_rows(documents, reduce, values, first=first):
+                    return np.concatenate([[documents], reduce.reduceat(values, first) if len(first) else []]).astype(np.int32)
+
+                def lists(values, at=some):
+                    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+
+                yield pa.RecordBatch.from_pydict({
+                    "term": pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary]),
+                    "block": pa.array(np.full(len(first) + 1, rows.column("row")[0].as_py())),
+                    "docs": np.diff(some).astype(np.int32),
+                    "tf": of_rows(0, np.maximum, count),
+                    "n": of_rows(0, np.minimum, lengths[place]),
+                    "words": np.concatenate([[len(words)], np.diff(np.concatenate([[0], np.cumsum(count)])[[*first, len(count)]])]).astype(np.int64),
+                    "places": lists(pa.array(np.concatenate([np.arange(len(texts)), place]).astype(np.int32))),
+                    "counts": lists(pa.array(np.concatenate([lengths, count]).astype(np.int32))),
+                    "ids": lists(rows.column("id"), [0] + [len(texts)] * (len(first) + 1)),
+                })
+
+    return run
 
 
 class KeywordIndex:
     """Okapi BM25 over postings, in segments.
 
-    ``add`` writes a segment and touches no other. A segment's documents lie in blocks of ``BLOCK`` rows; of each word and block
-    the number of documents, the largest count and the least length are kept. A query reads that table for its words only. What
-    a block's documents can score at most follows from it for any mean length, so after the most promising blocks
-    have given a ``limit``-th score, blocks that stay below it are never read. Postings are sorted by word and block, so
-    row groups are skipped by their statistics.
+    ``add`` writes a segment and touches no other. A segment's documents lie in blocks of ``1 << BLOCK_BITS`` rows, fewer where texts are
+    long; a row of the table holds a word's documents of one block, their number, the largest count and the least length. A query
+    reads that table for its words only. What a block's documents can score at most follows from it for any mean length, so after the
+    most promising blocks have given a ``limit``-th score, lists of blocks that stay below it are never read. A file's rows are sorted
+    by word and block, so row groups are skipped by their statistics.
     """
 
-    BLOCK_BITS, FIRST_BLOCKS = 9, 8
+    BLOCK_BITS, FIRST_BLOCKS, BLOCK_BYTES, BLOCKS_TOGETHER = 9, 8, 1 << 24, 16
 
     def __init__(self, spark: SparkSession, root: str, id_col: str = "doc_id", k1: float = K1, b: float = B):
         self.spark, self.root, self.id_col, self.k1, self.b = spark, root.rstrip("/"), id_col, k1, b
 
     def add(self, docs: DataFrame, text_col: str = "text") -> KeywordIndex:
-        """A new segment of documents that the index does not hold yet. Documents without words count for the mean length."""
-        segment = uuid.uuid4().hex
-        block = F.shiftrightunsigned(F.monotonically_increasing_id(), self.BLOCK_BITS)
-        rows = docs.select(F.col(self.id_col), F.coalesce(F.filter(words_of(F.col(text_col)), lambda w: w != ""), F.array().cast("array<string>")).alias("words"), block.alias("block"))
-        counts = rows.select(self.id_col, "block", F.size("words").alias("n"), F.explode("words").alias("term")).groupBy("term", "block", self.id_col, "n").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        path = f"{self.root}/postings/segment={segment}"
-        counts.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", 1 << 22).parquet(path)
-        made = self.spark.read.parquet(path)
-        maxima = made.groupBy("term", "block").agg(F.count(F.lit(1)).alias("docs"), F.max("tf").alias("tf"), F.min("n").alias("n"))
-        maxima.repartitionByRange("term").sortWithinPartitions("term", "block").write.option("parquet.block.size", 1 << 22).parquet(f"{self.root}/blocks/segment={segment}")
-        rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).write.parquet(f"{self.root}/stats/segment={segment}")
+        """A new segment of documents that the index does not hold yet. Documents without words count for the mean length.
+
+        Words are counted where the documents are read; one shuffle brings a word's rows of some 65,536 documents together.
+        """
+        rows = docs.select(F.col(self.id_col).alias("id"), F.coalesce(F.lower(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+        columns = "term string, block long, docs int, tf int, n int, words long, places array<int>, counts array<int>, ids array<{}>"
+        made = rows.mapInArrow(_postings(1 << self.BLOCK_BITS, self.BLOCK_BYTES), columns.format(docs.schema[self.id_col].dataType.simpleString()))
+        placed = made.repartition("term", F.shiftright("block", self.BLOCKS_TOGETHER)).sortWithinPartitions("term", "block")
+        placed.write.option("parquet.block.size", 1 << 22).parquet(f"{self.root}/postings/segment={uuid.uuid4().hex}")
         return self
 
     def _part(self, tf: Column, n: Column, docs: int, df: int, mean: float) -> Column:
@@ -51,22 +101,28 @@ class KeywordIndex:
     def search(self, query: str, limit: int) -> DataFrame:
         """(id, score) of the ``limit`` best documents that hold a query word, ties by id. A query without words finds nothing."""
         terms = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
-        blocks = self.spark.read.parquet(f"{self.root}/blocks").where(F.col("term").isin(*terms)) if terms else None
-        stats = self.spark.read.parquet(f"{self.root}/stats").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
-        seen = blocks.groupBy("term").agg(F.sum("docs").alias("df")).join(stats).collect() if terms else []  # a row for each query word
         postings = self.spark.read.parquet(f"{self.root}/postings")
-        if not seen:
-            return postings.select(self.id_col, F.lit(0.0).alias("score")).limit(0)
-        df, docs = {r["term"]: r["df"] for r in seen}, seen[0]["docs"]
-        mean, terms = seen[0]["words"] / docs, sorted(df)
+        postings = postings.where(F.isnull("term") | F.col("term").isin(*terms)) if terms else postings
+        totals = postings.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).collect() if terms else []  # a row for each query word, one for all documents
+        df = {r["term"]: r["docs"] for r in totals if r["term"] is not None}
+        if not df:
+            return postings.select(F.explode("ids").alias(self.id_col), F.lit(0.0).alias("score")).limit(0)
+        docs, words = next((r["docs"], r["words"]) for r in totals if r["term"] is None)
+        mean, terms = words / docs, sorted(df)
         most = [F.coalesce(self._part(F.max(F.when(F.col("term") == t, F.col("tf"))), F.min(F.when(F.col("term") == t, F.col("n"))), docs, df[t], mean), F.lit(0.0)) for t in terms]
-        bounds = blocks.groupBy("segment", "block").agg(reduce(lambda x, y: x + y, most).alias("most"))
+        bounds = postings.where(F.col("term").isin(*terms)).groupBy("segment", "block").agg(reduce(lambda x, y: x + y, most).alias("most"))
 
         def scored(some: DataFrame) -> DataFrame:
-            held = postings.where(F.col("term").isin(*terms)).join(some.select("segment", "block"), ["segment", "block"], "left_semi")
-            by_doc = held.groupBy("segment", self.id_col, "n").agg(*(F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"t{i}") for i, t in enumerate(terms)))
+            """Lists of a block meet before they become rows, and those need no shuffle."""
+            held = postings.join(some.select("segment", "block"), ["segment", "block"], "left_semi").repartition("segment", "block")
+            held = held.select("segment", "block", "term", F.inline(F.arrays_zip("places", "counts", "ids")))
+            own = F.isnull("term")
+            by_doc = held.groupBy("segment", "block", "places").agg(
+                F.max(F.when(own, F.col("ids"))).alias(self.id_col), F.max(F.when(own, F.col("counts"))).alias("n"),
+                *(F.max(F.when(F.col("term") == t, F.col("counts"))).alias(f"t{i}") for i, t in enumerate(terms)))
             parts = [self._part(F.coalesce(f"t{i}", F.lit(0)), F.col("n"), docs, df[t], mean) for i, t in enumerate(terms)]
-            return by_doc.select(self.id_col, reduce(lambda x, y: x + y, parts).alias("score")).orderBy(F.desc("score"), self.id_col).limit(limit)
+            found = by_doc.where(F.coalesce(*(f"t{i}" for i in range(len(terms)))).isNotNull())
+            return found.select(self.id_col, reduce(lambda x, y: x + y, parts).alias("score")).orderBy(F.desc("score"), self.id_col).limit(limit)
 
         promising = bounds.orderBy(F.desc("most"), "segment", "block").limit(self.FIRST_BLOCKS)
         least = scored(promising).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).first()

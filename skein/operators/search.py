@@ -43,11 +43,6 @@ def vector_search(units: DataFrame, query: list[float], limit: int = 10, offset:
     return hits.select(id_col, *(c for c in units.columns if c not in (id_col, vector_col)), "certainty", (1 - F.col("cos")).alias("distance"))
 
 
-def words_of(text: Column) -> Column:
-    """Runs of a-z and digits of the lower-cased text, with empty words where it begins or ends otherwise."""
-    return F.split(F.lower(text), "[^a-z0-9]+")
-
-
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, alpha: float = 0.5, limit: int = 10, constant: int = 60, id_col: str = "doc_id") -> DataFrame:
     """Ranked fusion: alpha / (constant + vector rank) + (1 - alpha) / (constant + keyword rank). Both sides are top lists."""
     def ranked(df: DataFrame, by: str, name: str) -> DataFrame:

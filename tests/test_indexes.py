@@ -61,6 +61,32 @@ def test_blocks_that_cannot_matter_are_not_read(spark, tmp_path, monkeypatch):
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,rare)" in plan or "term" in plan.split("PushedFilters")[1][:200]
 
 
+def test_words_are_counted_where_documents_are_read(spark, tmp_path):
+    docs = [(i, " ".join(WORDS[:20])) for i in range(1000)]
+    index = KeywordIndex(spark, str(tmp_path)).add(frame(spark, docs).repartition(2))
+    assert spark.read.parquet(f"{index.root}/postings").count() <= 4 * 21  # a row for each word and block, not for each word and document
+    assert [tuple(r) for r in index.search("w3", 3).collect()] == plain_bm25(docs, "w3", 3)
+
+
+def test_documents_of_one_id_are_scored_apart(spark, tmp_path):
+    index = KeywordIndex(spark, str(tmp_path)).add(frame(spark, [(1, "a b"), (1, "a b"), (1, "c a"), (2, "b c")]).coalesce(1))
+    assert [r["doc_id"] for r in index.search("a", 9).collect()] == [1, 1, 1]
+
+
+def test_blocks_end_at_bytes_and_odd_texts_count(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(KeywordIndex, "BLOCK_BYTES", 60)
+    docs = [*random_docs(40, 7), (70, "--"), (71, "\u212aw1 W1\u00fcw1 1w\x00w1"), (72, "w1" * 500 + " w1"), (73, " "), (74, "w1")]
+    index = KeywordIndex(spark, str(tmp_path / "some")).add(frame(spark, docs).repartition(3))
+    for query in ("w1", "kw1 w2", "w1" * 500, "w0 w1 1w"):
+        assert [tuple(r) for r in index.search(query, 90).collect()] == plain_bm25(docs, query, 90), query
+    index = KeywordIndex(spark, str(tmp_path / "none")).add(frame(spark, []))
+    assert index.search("w1", 5).collect() == index.search("", 5).collect() == []
+    index.add(frame(spark, [(1, None), (2, "")]))
+    assert index.search("w1", 5).collect() == []
+    named = spark.createDataFrame([("x", "w1 w2"), ("y", "w2 w2")], "name string, body string")
+    assert [r["name"] for r in KeywordIndex(spark, str(tmp_path / "named"), "name").add(named, "body").search("w2", 5).collect()] == ["y", "x"]
+
+
 def test_a_changed_table_is_indexed_anew(spark, tmp_path):
     folder = str(tmp_path)
     frame(spark, [(1, "old words here")]).write.parquet(f"{folder}/documents.parquet")
