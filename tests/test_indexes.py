@@ -87,6 +87,20 @@ def test_blocks_end_at_bytes_and_odd_texts_count(spark, tmp_path, monkeypatch):
     assert [r["name"] for r in KeywordIndex(spark, str(tmp_path / "named"), "name").add(named, "body").search("w2", 5).collect()] == ["y", "x"]
 
 
+def test_hybrid_search_keeps_a_row_for_each_word_and_block(spark, tmp_path):
+    folder = str(tmp_path)
+    docs = [(i, f"the license of that and version {' '.join(WORDS[: 1 + i % 30])}") for i in range(900)]
+    frame(spark, docs).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    vectors = [(i, [1.0, float(abs(i - 7)), 0.0], 0) for i in range(900)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    found = [(r["doc_id"], r["score"]) for r in QUERIES["hybrid_search"](spark, folder).collect()]
+    near = [7, *sorted((i for i in range(900) if i != 7), key=lambda i: (abs(i - 7), i))][:50]
+    best = [d for d, _ in plain_bm25(docs, "the license of that and version", 50)]
+    score = {d: sum(0.5 / (61 + side.index(d)) for side in (near, best) if d in side) for d in {*near, *best}}
+    assert found == [(d, pytest.approx(s, abs=1e-6)) for d, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:10]]
+    assert spark.read.parquet(f"{keyword_index(spark, folder).root}/postings").count() <= 2 * 37  # 36 words and the documents themselves
+
+
 def test_a_changed_table_is_indexed_anew(spark, tmp_path):
     folder = str(tmp_path)
     frame(spark, [(1, "old words here")]).write.parquet(f"{folder}/documents.parquet")
