@@ -77,22 +77,23 @@ class KeywordIndex:
     by word and block, so row groups are skipped by their statistics.
     """
 
-    BLOCK_BITS, FIRST_BLOCKS, BLOCK_BYTES, BLOCKS_TOGETHER = 9, 8, 1 << 24, 16
+    BLOCK_BITS, FIRST_BLOCKS, BLOCK_BYTES = 12, 8, 1 << 24
 
     def __init__(self, spark: SparkSession, root: str, id_col: str = "doc_id", k1: float = K1, b: float = B):
         self.spark, self.root, self.id_col, self.k1, self.b = spark, root.rstrip("/"), id_col, k1, b
 
     def add(self, docs: DataFrame, text_col: str = "text") -> KeywordIndex:
-        """A new segment of documents that the index does not hold yet. Documents without words count for the mean length.
+        """A new segment of documents that the index does not hold yet. Documents without words count for the mean length."""
+        self._rows(docs, text_col).write.option("parquet.block.size", 1 << 22).parquet(f"{self.root}/postings/segment={uuid.uuid4().hex}")
+        return self
 
-        Words are counted where the documents are read; one shuffle brings a word's rows of some 65,536 documents together.
-        """
+    def _rows(self, docs: DataFrame, text_col: str) -> DataFrame:
+        """A segment's rows. The task that reads documents counts their words, sorts the rows and writes them: no word's rows of two tasks
+        become one, so a shuffle would join nothing."""
         rows = docs.select(F.col(self.id_col).alias("id"), F.coalesce(F.lower(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
         columns = "term string, block long, docs int, tf int, n int, words long, places array<int>, counts array<int>, ids array<{}>"
         made = rows.mapInArrow(_postings(1 << self.BLOCK_BITS, self.BLOCK_BYTES), columns.format(docs.schema[self.id_col].dataType.simpleString()))
-        placed = made.repartition("term", F.shiftright("block", self.BLOCKS_TOGETHER)).sortWithinPartitions("term", "block")
-        placed.write.option("parquet.block.size", 1 << 22).parquet(f"{self.root}/postings/segment={uuid.uuid4().hex}")
-        return self
+        return made.sortWithinPartitions("term", "block")
 
     def _part(self, tf: Column, n: Column, docs: int, df: int, mean: float) -> Column:
         idf = F.log(1 + (F.lit(float(docs)) - df + 0.5) / (df + 0.5))

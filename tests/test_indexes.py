@@ -101,6 +101,37 @@ def test_hybrid_search_keeps_a_row_for_each_word_and_block(spark, tmp_path):
     assert spark.read.parquet(f"{keyword_index(spark, folder).root}/postings").count() <= 2 * 37  # 36 words and the documents themselves
 
 
+def test_an_index_is_built_without_a_shuffle(spark, tmp_path):
+    folder, context = str(tmp_path), spark.sparkContext
+    docs = random_docs(300, 5)
+    frame(spark, docs).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    written = spark.read.parquet(f"{folder}/documents.parquet")
+    context.setJobGroup(folder, "the building")
+    index = KeywordIndex(spark, f"{folder}/index").add(written)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    ran = context.statusTracker()
+    assert sum(len(ran.getJobInfo(job).stageIds) for job in ran.getJobIdsForGroup(folder)) == 1
+    files = [r["f"] for r in spark.read.parquet(f"{index.root}/postings").selectExpr("_metadata.file_path AS f").distinct().collect()]
+    for file in files:
+        terms = [r["term"] or "" for r in spark.read.parquet(file).select("term").collect()]
+        assert terms == sorted(terms) and len(terms) > 10
+    assert [tuple(r) for r in index.search("w1 w30", 40).collect()] == plain_bm25(docs, "w1 w30", 40)
+
+
+def test_hybrid_search_keeps_a_row_for_each_word_of_some_thousand_documents(spark, tmp_path):
+    folder, words = str(tmp_path), "the license of that and version"
+    docs = [(i, f"{words} {' '.join(WORDS[: 1 + i % 30])}") for i in range(2000)]
+    frame(spark, docs).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    vectors = [(i, [1.0, float(abs(i - 7)), 0.0], 0) for i in range(2000)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    near = [7, *sorted((i for i in range(2000) if i != 7), key=lambda i: (abs(i - 7), i))][:50]
+    best = [d for d, _ in plain_bm25(docs, words, 50)]
+    score = {d: sum(0.5 / (61 + side.index(d)) for side in (near, best) if d in side) for d in {*near, *best}}
+    found = [(r["doc_id"], r["score"]) for r in QUERIES["hybrid_search"](spark, folder).collect()]
+    assert found == [(d, pytest.approx(s, abs=1e-6)) for d, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:10]]
+    assert spark.read.parquet(f"{keyword_index(spark, folder).root}/postings").count() == 37  # 36 words and the documents themselves
+
+
 def test_a_changed_table_is_indexed_anew(spark, tmp_path):
     folder = str(tmp_path)
     frame(spark, [(1, "old words here")]).write.parquet(f"{folder}/documents.parquet")
