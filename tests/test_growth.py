@@ -134,6 +134,24 @@ def test_call_edges_are_not_shuffled(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want(twice))
 
 
+def test_call_edges_meet_in_tasks(spark, monkeypatch):
+    """Ids with several names and bodies, null ids, blocks of callees, batches of callers and edges: neither edges nor lists of them are shuffled."""
+    rng = random.Random(7)
+    words = ["a", "an", "tan", "then", "n t", "Ünd", "x"]
+    rows = [(rng.choice([None, *range(25)]), rng.choice([*words, None, ""]), " ".join(rng.choice(words) for _ in range(rng.randrange(4))) or None) for _ in range(70)]
+    want = sorted({(a, b) for a, _, body in rows for b, name, _ in rows if None not in (a, b) and a != b and name and body and name in body})
+    for callees, callers, edges in ((500_000, 2_048, 500_000), (4, 3, 5)):
+        for key, value in (("CALLEES_AT_ONCE", callees), ("CALLERS_OF_TASK", callers), ("EDGES_AT_ONCE", edges)):
+            monkeypatch.setattr(graph, key, value)
+        for kind, ids in (("long", lambda x: x), ("string", lambda x: None if x is None else f"i{x}")):
+            symbols = spark.createDataFrame([(ids(i), name, body) for i, name, body in rows], f"id {kind}, name string, body string")
+            got = graph.call_edges(symbols)
+            assert sorted(map(tuple, got.collect())) == sorted((ids(a), ids(b)) for a, b in want)
+            assert "Join" not in plan_of(got) and "Aggregate" not in plan_of(got)
+    nothing = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "id long, name string, body string")
+    assert graph.call_edges(nothing).collect() == [] and graph.call_edges(nothing).columns == ["caller", "callee"]
+
+
 def test_commit_impact_in_bounded_parts(spark):
     rng = random.Random(6)
     changed = [(rng.randrange(40), rng.randrange(20)) for _ in range(150)]
