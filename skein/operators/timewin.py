@@ -23,10 +23,17 @@ def seconds(ts: Column) -> Column:
 
 
 def sliding_counts(requests: DataFrame, window: int, keys: tuple[str, ...] = ("user_id", "endpoint"), ts: str = "ts") -> DataFrame:
-    """Requests in the last ``window`` seconds up to each one, and when the oldest of them leaves."""
-    at = requests.withColumn("second", seconds(F.col(ts)))
-    frame = Window.partitionBy(*keys).orderBy("second").rangeBetween(-(window - 1), 0)
-    return at.withColumn("in_window", F.count(F.lit(1)).over(frame)).withColumn("reset_at", F.min("second").over(frame) + window)
+    """Requests in the last ``window`` seconds up to each one, and when the oldest of them leaves.
+
+    Each frame begins with its key's first request and only grows, since a frame that moves is counted anew for every row: what has left is taken from
+    what has come, and the oldest request is the one that follows the last that has left. Requests without a time count among themselves.
+    """
+    at = requests.withColumn("second", seconds(F.col(ts))).withColumn("_timeless", F.isnull("second"))
+    order = Window.partitionBy(*keys, "_timeless").orderBy("second")
+    come, left = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -window)
+    gone = F.when(F.col("_timeless"), 0).otherwise(F.count(F.lit(1)).over(left))
+    at = at.withColumns({"in_window": F.count(F.lit(1)).over(come) - gone, "_first": F.min("second").over(come), "_next": F.lead("second").over(order)})
+    return at.withColumn("reset_at", F.coalesce(F.max("_next").over(left), F.col("_first")) + window).drop("_timeless", "_first", "_next")
 
 
 def admit(requests: DataFrame, tier: str = "free", keys: tuple[str, str] = ("user_id", "endpoint"), ts: str = "ts", id_col: str = "event_id") -> DataFrame:

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import classes, graph
+from skein.operators import classes, graph, timewin
 from skein.operators.index import VectorIndex
 from skein.plans.registry import QUERIES
 from skein.sources import cache, store
@@ -152,6 +152,26 @@ def test_call_edges_meet_in_tasks(spark, monkeypatch):
     assert graph.call_edges(nothing).collect() == [] and graph.call_edges(nothing).columns == ["caller", "callee"]
 
 
+def test_sliding_counts_without_moving_frames(spark):
+    """Ties, gaps, windows of one second, requests without a time and keys without a value; every frame begins with its key's first request."""
+    rng, start = random.Random(1), datetime(2024, 1, 1)
+    rows = [(i, rng.choice([None, 1, 2]), rng.choice("ab"), rng.choice([None, *[start + timedelta(seconds=rng.randrange(200), milliseconds=i)] * 9])) for i in range(400)]
+    requests = spark.createDataFrame(rows, "event_id long, user_id long, endpoint string, ts timestamp").repartition(3)
+    second = lambda ts: None if ts is None else int((ts - datetime(1970, 1, 1)).total_seconds())
+    for window in (1, 10, 86_400):
+        want = {}
+        for i, user, name, ts in rows:
+            s = second(ts)
+            others = [second(t) for _, u, n, t in rows if (u, n) == (user, name)]
+            met = [t for t in others if (t is None) == (s is None) and (s is None or s - window < t <= s)]
+            want[i] = (len(met), None if s is None else min(met) + window)
+        got = timewin.sliding_counts(requests, window)
+        assert {r["event_id"]: (r["in_window"], r["reset_at"]) for r in got.collect()} == want
+        assert got.columns == [*requests.columns, "second", "in_window", "reset_at"]
+        assert "RangeFrame, -" not in plan_of(got)
+        assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_commit_impact_in_bounded_parts(spark):
     rng = random.Random(6)
     changed = [(rng.randrange(40), rng.randrange(20)) for _ in range(150)]
